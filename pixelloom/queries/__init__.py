@@ -6,9 +6,19 @@ from __future__ import annotations
 FLAGSHIP = "alpha_metrics"
 
 
+def _all() -> None:
+    from . import data_quality, experiments, kernels, metrics, neighbourhoods, pixels, resampling  # noqa: F401
+
+
 def queries() -> dict:
-    return {}
+    from .base import REGISTER
+
+    _all()
+    return dict(REGISTER)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .base import SQL
+
+    _all()
+    return dict(SQL)
