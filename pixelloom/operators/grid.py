@@ -22,14 +22,21 @@ def normalised(v: Column) -> Column:
     return F.transform(ends, lambda s: F.transform(v, lambda e: F.when(s["high"] == s["low"], F.lit(0.0)).otherwise((e - s["low"]) / (s["high"] - s["low"]))))[0]
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("image_id"), F.col("label").alias("tag"), F.col("embedding").cast("array<double>").alias("a"))
+
+
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, tag, a: an 8 x 8 plane for each vector of the test table."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.col("vec_id").alias("image_id"), F.col("label").alias("tag"), normalised(F.col("embedding").cast("array<double>")).alias("a"))
+    return _vectors(spark, sf_dir).withColumn("a", normalised(F.col("a")))
+
 
+def following(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with further columns: the vectors of the next ids, modulo the number of images.
 
-def following(rows: DataFrame, n: int, *columns: str) -> DataFrame:
-    """rows with further columns: the planes of the next ids, modulo the number of images."""
+    Plain columns are joined; planes are made of them afterwards, so the joins' plans stay small.
+    """
     count = rows.agg(F.max("image_id")).first()[0] + 1
     out = rows
     for k, name in enumerate(columns, 1):
@@ -40,12 +47,15 @@ def following(rows: DataFrame, n: int, *columns: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, tag, a and the reference t."""
-    return following(planes(spark, sf_dir), 1, "t")
+    rows = following(_vectors(spark, sf_dir), "t")
+    return rows.select("image_id", "tag", normalised(F.col("a")).alias("a"), normalised(F.col("t")).alias("t"))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, tag, r, g, b; also a (that is r) and t (g)."""
-    return following(planes(spark, sf_dir), 2, "g", "b").select("image_id", "tag", F.col("a").alias("r"), "g", "b", "a", F.col("g").alias("t"))
+    rows = following(_vectors(spark, sf_dir), "g", "b")
+    r, g, b = (normalised(F.col(c)) for c in ("a", "g", "b"))
+    return rows.select("image_id", "tag", r.alias("r"), g.alias("g"), b.alias("b"), r.alias("a"), g.alias("t"))
 
 
 def places(n: int = SIDE * SIDE) -> Column:
