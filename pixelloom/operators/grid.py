@@ -53,9 +53,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, tag, r, g, b; also a (that is r) and t (g)."""
-    rows = following(_vectors(spark, sf_dir), "g", "b")
-    r, g, b = (normalised(F.col(c)) for c in ("a", "g", "b"))
-    return rows.select("image_id", "tag", r.alias("r"), g.alias("g"), b.alias("b"), r.alias("a"), g.alias("t"))
+    rows = following(planes(spark, sf_dir), "g", "b")
+    return rows.select("image_id", "tag", F.col("a").alias("r"), "g", "b", "a", F.col("g").alias("t"))
 
 
 def places(n: int = SIDE * SIDE) -> Column:

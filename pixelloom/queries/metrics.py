@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pixel as P
 from ..operators import grid as G
 from .base import query
 
@@ -85,44 +84,6 @@ def foreground_colour_error(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_id", error.alias("e"), weight.alias("w")).select("image_id", F.round(F.when(F.col("w") == 0, 0.0).otherwise(F.col("e") / F.when(F.col("w") != 0, F.col("w"))), 6).alias("error"))
 
 
-_LIN = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END"
-
-
-@query(
-    f""", bg AS (SELECT * FROM (VALUES ('black', 0, 0, 0), ('white', 1, 1, 1), ('grey', 0.5, 0.5, 0.5), ('red', 1, 0, 0), ('green', 0, 1, 0), ('blue', 0, 0, 1)) AS v(name, cr, cg, cb)),
-tex AS (SELECT x, y, CAST((((CAST(x AS UHUGEINT) * 2654435769 + CAST(y AS UHUGEINT) * 2246822507 + 15) * 6364136223846793005::UHUGEINT) % 18446744073709551616::UHUGEINT) // 8589934592::UHUGEINT AS DOUBLE) / 4294967295.0 * 0.35 + 0.325 AS v FROM (SELECT DISTINCT x, y FROM px)),
-place AS (SELECT name, x, y, unnest([0, 1, 2]) AS c, unnest([CAST(cr AS DOUBLE), CAST(cg AS DOUBLE), CAST(cb AS DOUBLE)]) AS v FROM bg CROSS JOIN (SELECT DISTINCT x, y FROM px) UNION ALL SELECT 'texture', x, y, unnest([0, 1, 2]), v FROM tex),
-lin AS (SELECT name, x, y, c, {_LIN.format("v")} AS v FROM place),
-ch AS (SELECT image_id, x, y, a, t, unnest([0, 1, 2]) AS c, unnest([{_LIN.format("a")}, {_LIN.format("g")}, {_LIN.format("b")}]) AS f FROM rgb),
-d AS (SELECT image_id, (a * f + (1 - a) * v) - (t * f + (1 - t) * v) AS e FROM ch JOIN lin USING (x, y, c)),
-m AS (SELECT image_id, avg(abs(e)) AS mae, avg(e * e) AS mse FROM d GROUP BY image_id)
-SELECT image_id, round(mae, 6) AS mae, round(mse, 6) AS mse, round(CASE WHEN mse = 0 THEN 100 ELSE 10 * log10(1 / mse) END, 4) AS psnr FROM m""",
-    planes=True,
-)
-def composite_errors_7bg(spark: SparkSession, sf: str) -> DataFrame:
-    """Composites with the alpha and with its reference over seven backgrounds, in linear light: MAE, MSE and PSNR."""
-    rows = G.images(spark, sf)
-    for c in "rgb":
-        rows = rows.withColumn(f"l{c}", F.transform(c, lambda v: P.srgb_to_linear(v)))
-    rows = rows.withColumn("tex", G.each(lambda i, x, y: P.srgb_to_linear(P.texture(x, y))))
-    backs = [[P.srgb_to_linear(F.lit(v)) for v in colour] for colour in P.BACKGROUNDS.values()]
-
-    def errors(power: int):
-        def one(a, t, r, g, b, tex):
-            out = F.lit(0.0)
-            for back in [*backs, [tex] * 3]:
-                for f, v in zip((r, g, b), back, strict=True):
-                    e = (a * f + (1 - a) * v) - (t * f + (1 - t) * v)
-                    out = out + (F.abs(e) if power == 1 else e * e)
-            return out
-
-        return _sum(one, "a", "t", "lr", "lg", "lb", "tex") / (64 * 21)
-
-    m = rows.select("image_id", errors(1).alias("mae"), errors(2).alias("mse"))
-    psnr = F.when(F.col("mse") == 0, 100.0).otherwise(10 * F.log10(1 / F.when(F.col("mse") != 0, F.col("mse"))))
-    return m.select("image_id", F.round("mae", 6).alias("mae"), F.round("mse", 6).alias("mse"), F.round(psnr, 4).alias("psnr"))
-
-
 @query(
     """, s AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rgb WHERE a >= 0.5 OR t >= 0.5 GROUP BY image_id)
 SELECT image_id, greatest(0, x0 - 1) AS x0, least(7, x1 + 1) AS x1, greatest(0, y0 - 1) AS y0, least(7, y1 + 1) AS y1 FROM s""",

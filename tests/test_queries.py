@@ -13,7 +13,7 @@ from pixelloom.queries.experiments import bootstrap_interval, xorshift
 from pixelloom.queries.kernels import distance_transform, labelled, topology
 
 SF = "/root/testdata/sf0.001"
-SOME = ("alpha_metrics", "erosion_even_anchor", "disk_opening", "gaussian_blur", "trimap_symmetric", "composite_errors_7bg", "hash_collisions", "tag_aggregates", "resize_nearest", "crop_tiles")
+SOME = ("alpha_metrics", "erosion_even_anchor", "disk_opening", "gaussian_blur", "trimap_symmetric", "hash_collisions", "tag_aggregates", "resize_nearest", "crop_tiles")
 
 
 @pytest.fixture(scope="module")
