@@ -11,8 +11,9 @@ Many words go through the algorithm at once, as arrays; each worker keeps the sc
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ BLOCK, LONGEST = 31, 10
 #: Documents of each language for the estimate, about; languages at most, the most frequent ones.
 SAMPLE, LANGUAGES = 800, 256
 STEPS = 3
-#: Words whose scores a worker keeps, then it starts anew.
-KEPT = 600_000
+#: Scores (words times languages) that a worker keeps, then it starts anew; and those worked out at once.
+KEPT, AT_ONCE = 2_400_000, 40_000
 #: The probability of a letter that no piece covers.
 UNKNOWN = 1e-9
 
@@ -114,6 +115,8 @@ class Model:
     languages: list[str]
     probabilities: np.ndarray  # (piece, language), the last two rows: unknown letters, no piece
     prior: np.ndarray  # logarithms
+    #: Names the model wherever it is sent: each task gets a copy of its own.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def blocks_of(word: str) -> list[str]:
@@ -181,8 +184,9 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         words = sorted(words, key=len)
         new = np.zeros((len(words), len(self.model.languages)))
-        for at in range(0, len(words), 10_000):
-            some = [(i, b) for i in range(at, min(at + 10_000, len(words))) for b in blocks_of(words[i])]
+        step = max(1, AT_ONCE // len(self.model.languages))
+        for at in range(0, len(words), step):
+            some = [(i, b) for i in range(at, min(at + step, len(words))) for b in blocks_of(words[i])]
             lengths, found = self.pieces.found([b for _, b in some])
             f = forward(lengths, found, self.model.probabilities)[np.arange(len(some)), lengths]
             np.add.at(new, [i for i, _ in some], np.log(np.maximum(f, 1e-300)))
@@ -193,14 +197,14 @@ class Scorer:
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its probability) of each text; ("und", 0) without a letter."""
         cut = [words_of(t) for t in texts]
-        if len(self.at) > KEPT:
+        if self.scores.size > KEPT:
             self.clear()
         new = {w for ws in cut for w in ws if w not in self.at}
         if new:
             self.learn(list(new))
         out, get = [], self.at.__getitem__
         for ws in cut:
-            if not ws:
+            if not any(c.isalpha() for w in ws for c in w):
                 out.append(("und", 0.0))
                 continue
             total = self.scores[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64) + self.model.prior
@@ -232,15 +236,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = "piece_bpe_32
     return fit(counts, prior, vocabulary)
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def scorer_of(model: Model) -> Scorer:
     """One for each worker, which Spark uses again for later tasks; of one model at a time."""
-    if id(model) not in _SCORERS:
+    if model.key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
