@@ -28,6 +28,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: The part of the rows that the estimate is for, concentration steps, and rows a group must have.
 PART, STEPS, LEAST = 0.75, 3, 60
+#: Parts that rows of one group are dealt to when they meet the group's numbers, which have a copy for each part.
+SALTS = 64
 #: Documents beyond this squared distance go. It is far out (chi-square of 5 dimensions: 1 in 10**11), since clean
 #: statistics have longer tails than a normal distribution.
 LIMIT = 60.0
@@ -159,21 +161,27 @@ def _keys() -> Column:
     )
 
 
+def _meet(long: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of long beside the numbers of their group: by key and salt, so that a group of all rows has many tasks."""
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return long.join(copies, ["key", "salt"])
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """key, n, mean, inverse of each group of rows (lang, source, x0..)."""
-    long = rows.select(F.explode(_keys()).alias("key"), *[_x(i) for i in range(D)])
+    """key, n, mean, inverse of each group of rows (lang, source, salt, x0..)."""
+    long = rows.select(F.explode(_keys()).alias("key"), "salt", *[_x(i) for i in range(D)])
     moments = [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(_x(i)) for i in range(D)]).alias("s"), F.array(*[F.sum(_x(i) * _x(j)) for i in range(D) for j in range(i, D)]).alias("ss")]
     ddl = "key string, n bigint, mean array<double>, inverse array<double>"
     median = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in range(D)])
-    off = long.join(median, "key").groupBy("key").agg(F.first("n").alias("n"), F.array(*[F.first(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[F.percentile_approx(F.abs(_x(i) - F.col(f"m{i}")), 0.5) for i in range(D)]).alias("mad"))
+    off = _meet(long, median).groupBy("key").agg(F.first("n").alias("n"), F.array(*[F.first(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[F.percentile_approx(F.abs(_x(i) - F.col(f"m{i}")), 0.5) for i in range(D)]).alias("mad"))
     # Deviations about the median times 1.4826 are standard deviations, were the rows normal.
     floors = list(STATISTICS.values())
     start = F.array(*[1 / (F.pow(1.4826 * F.col("mad")[i], F.lit(2.0)) + floors[i] ** 2) if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
     state = saved(off.select("key", "n", "mean", start.alias("inverse")), "mcd")
     for _ in range(STEPS):
-        near = long.join(state.drop("n"), "key").withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
+        near = _meet(long, state.drop("n")).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
         limit = saved(near.groupBy("key").agg(F.percentile_approx("d", PART).alias("limit")), "mcd-limit")
-        sums = near.join(limit, "key").where(F.col("d") <= F.col("limit")).groupBy("key").agg(*moments)
+        sums = _meet(near, limit).where(F.col("d") <= F.col("limit")).groupBy("key").agg(*moments)
         steps = sums.mapInPandas(_inverted, ddl)
         state = saved(steps.drop("n").join(state.select("key", "n"), "key").select("key", "n", "mean", "inverse"), "mcd")
     return state
@@ -190,7 +198,7 @@ def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
     found = counted if "text" in others else saved(counted, "quality-statistics")
     narrow = found if "text" not in others else saved(statistics(docs), "quality-statistics")
     measured = narrow.where(~F.col("base_failed"))
-    vectors = saved(measured.select("lang", "source", *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
+    vectors = saved(measured.select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
     of = estimates(vectors)
     # The finest group of a row that has enough rows, from the pairs of lang and source that there are.
     pairs = vectors.select("lang", "source").distinct().withColumn("key", F.explode(_keys())).join(of, "key")
