@@ -7,7 +7,7 @@ FLAGSHIP = "alpha_metrics"
 
 
 def _all() -> None:
-    from . import data_quality, experiments, kernels, metrics, neighbourhoods, pixels, resampling  # noqa: F401
+    from . import agreement, data_quality, experiments, kernels, metrics, neighbourhoods, pixels, resampling  # noqa: F401
 
 
 def queries() -> dict:

@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 
 from pixelloom import queries as Q
+from pixelloom.operators import agreement as A
 from pixelloom.queries.experiments import bootstrap_interval, xorshift
 from pixelloom.queries.kernels import distance_transform, labelled, topology
 
 SF = "/root/testdata/sf0.001"
-SOME = ("alpha_metrics", "erosion_even_anchor", "disk_opening", "gaussian_blur", "trimap_symmetric", "hash_collisions", "tag_aggregates", "resize_nearest", "crop_tiles")
+SOME = ("alpha_metrics", "erosion_even_anchor", "disk_opening", "gaussian_blur", "trimap_symmetric", "hash_collisions", "tag_aggregates", "resize_nearest", "crop_tiles", "gradient_error", "boundary_f1", "ssim_alpha", "composite_errors")
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,40 @@ def test_bootstrap_is_reproducible_and_bounds_the_mean():
     low, high = bootstrap_interval(values)
     assert (low, high) == bootstrap_interval(values) and low <= np.mean(values) <= high
     assert int(xorshift(np.uint64(1))) == ((1 ^ 1 << 13) ^ ((1 ^ 1 << 13) >> 7)) ^ (((1 ^ 1 << 13) ^ ((1 ^ 1 << 13) >> 7)) << 17)
+
+
+def plain_similarity(a, b):
+    h, w = a.shape
+    total = 0.0
+    for y in range(h):
+        for x in range(w):
+            taps = [(math.exp(-(i * i + j * j) / 4.5), min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)) for i in range(-5, 6) for j in range(-5, 6)]
+            z = sum(k for k, _, _ in taps)
+            mean = lambda f: sum(k * f(v, u) for k, v, u in taps) / z  # noqa: B023, E731
+            ma, mb = mean(lambda v, u: a[v, u]), mean(lambda v, u: b[v, u])
+            va, vb = max(0, mean(lambda v, u: a[v, u] ** 2) - ma * ma), max(0, mean(lambda v, u: b[v, u] ** 2) - mb * mb)
+            cov = mean(lambda v, u: a[v, u] * b[v, u]) - ma * mb
+            total += min(1, max(0, (2 * ma * mb + 1e-4) * (2 * cov + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4))))
+    return total / (h * w)
+
+
+def test_agreement_by_plain_loops():
+    draw = np.random.default_rng(4)
+    rgb, ref = draw.random((3, 3, 9, 7)), draw.random((3, 3, 9, 7))
+    a, t = draw.random((3, 9, 7)), draw.random((3, 9, 7))
+    a[0], t[0] = 0.1, 0.2  # nothing is covered: the region is the whole image
+    a[1, :5], t[1, :5] = 0.0, 0.0
+    got = A.agreement(rgb, ref, a, t)
+    for k, (y0, x0) in enumerate(((0, 0), (4, 0), (0, 0))):
+        p, q = a[k, y0:, x0:], t[k, y0:, x0:]
+        if k:
+            ys, xs = np.nonzero((a[k] >= 0.5) | (t[k] >= 0.5))
+            assert (ys.min() - 1 <= y0) and xs.min() <= 1
+        back = A.backgrounds(*p.shape)
+        over = lambda c, m, g: A.decoded(c) * m + g * (1 - m)
+        alike = np.mean([plain_similarity(over(rgb[k, c, y0:, x0:], p, back[g, c]), over(ref[k, c, y0:, x0:], q, back[g, c])) for g in range(7) for c in range(3)])
+        assert got[k, 4] == pytest.approx(alike)
+        assert got[k, 1] == pytest.approx(np.abs(p - q).mean())
+        assert got[k, 3] == pytest.approx(np.minimum(p, q).sum() / np.maximum(p, q).sum())
+        assert got[k, 0] == pytest.approx(0.35 * (1 - got[k, 1]) + 0.25 * got[k, 2] + 0.15 * got[k, 3] + 0.25 * got[k, 4])
+    assert got[0, 2] == 1.0  # neither has a boundary
