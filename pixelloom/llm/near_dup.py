@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import DOCUMENT_TYPES, as_bytes, pick, saved, small_batches
+from .similar_links import similar_links
 
 BUCKET = 64
 #: What a row of a signature costs, in candidate pairs.
@@ -227,9 +229,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(small.distinct(), "components")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id among all documents reachable over links.
 
+    Fingerprints link within the radius; with a similarity, texts whose five-word shingles are so similar link as well.
+
     Null and empty texts have the fingerprint 0 and link like others. Null doc_ids are in a group but don't name it,
     unless it has no other: then component_id is null. Repeated rows come out as often. An empty table gives no rows.
     Other columns of docs don't matter.
@@ -237,6 +241,10 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -
     marked = saved(fingerprints(docs, shingle, seed), "simhash")
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     of = components(links(distinct.select("fp"), radius))
+    if similarity is not None:
+        of = saved(of, "simhash-components")
+        similar = similar_links(docs, of, partial(fingerprint, shingle=shingle, seed=seed), similarity=similarity)
+        of = components(of.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar))
     # Fingerprints without a link are groups of their own; the others get the least doc_id of their component.
     linked = of.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -249,7 +257,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """The columns of documents: of each group the row with the smallest doc_id.
 
     Of rows with equal doc_id and fingerprint one stays, the least by its columns; with equal ids but different
@@ -257,7 +265,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int =
     computed again here, which is cheaper than to keep texts beside them.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    found = groups(docs, shingle, radius, seed).where(F.col("doc_id") == F.col("component_id"))
+    found = groups(docs, shingle, radius, seed, similarity).where(F.col("doc_id") == F.col("component_id"))
     stay = saved(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-stay")
     kept = fingerprints(docs, shingle, seed, *names).join(stay, ["doc_id", "fp"])
     single = kept.where("n = 1").select(*names)

@@ -303,3 +303,40 @@ def test_quality_model_learns(spark, docs, empty):
     assert all(got[i]["predicted"] == i % 2 for i in range(80))
     assert all(0 <= r["score"] <= 1 for r in quality_model.score(docs, model).collect())
     assert quality_model.score(empty, quality_model.train(empty, labels.limit(0))).count() == 0
+
+
+def _five_words(text):
+    words = (text or "").encode().lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def test_similar_texts_are_one_group(spark):
+    draw = random.Random(8)
+    made_texts = []
+    for _ in range(25):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([3, 60, 300]))]
+        for edits in (0, 0, 1, 2, 4, 8):
+            text = list(base)
+            for _ in range(edits):
+                text[draw.randrange(len(text))] = f"new{draw.randrange(10**6)}"
+            made_texts.append(" ".join(text))
+    made_texts += [None, "", " \n", made_texts[0].upper()]
+    rows = list(enumerate(made_texts, start=10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(docs, similarity=0.8).collect()}
+    fps, sets = [brute_fingerprint(t) for _, t in rows], [_five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
