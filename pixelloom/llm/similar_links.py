@@ -103,11 +103,12 @@ def forest(minima_of: np.ndarray, groups: np.ndarray, least: float) -> list[tupl
 
 def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
     """a, b: classes that may be so similar. sketched: class, grp (linked already), keys, minima."""
-    rows = sketched.select("class", "grp", "minima", F.explode("keys").alias("key"))
+    rows = sketched.select("class", "grp", F.explode("keys").alias("key"))
     # Buckets of one group have nothing to link.
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key", "n")
     cells = F.when(F.col("n") > MOST, F.ceil(F.col("n") / (MOST // 2))).otherwise(F.lit(1))
-    dealt = rows.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("class", "key"), cells)).select("key", "cell", "class", "grp", "minima")
+    dealt = rows.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("class", "key"), cells)).select("key", "cell", "class", "grp")
+    dealt = dealt.join(sketched.select("class", "minima"), "class").select("key", "cell", "class", "grp", "minima")  # minima of these only
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "class")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
