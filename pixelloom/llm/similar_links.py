@@ -2,29 +2,40 @@
 
 Five-word fingerprints of such texts differ in up to 14 of 64 bits (measured), and a search to that radius takes a
 fixed share of all pairs. So these links come from min-hash bands: BANDS keys of ROWS minima each, which two texts of
-similarity 0.8 fail to share once in 10 ** 7. Within a bucket a maximum spanning forest by the estimates of all minima
-is kept, not all pairs, and its links are verified on the whole sets of shingles. Buckets of over MOST texts are dealt
-at random to cells of about half of that, anew for each band.
+similarity 0.8 fail to share once in 10 ** 7. In a bucket, all pairs of different groups are compared on the whole sets
+of shingles; only pairs whose minima put them far below go before that.
+
+Large buckets are dealt to cells, and blocks of two cells meet: each cell of texts outside the bucket's largest group
+with each cell of the bucket. Before that their texts meet the bucket's most typical ones, which links most of a group
+that one text holds together; what is linked then no longer counts as outside. That only saves work, since what stays
+outside meets the whole bucket. A bucket of n texts with r outside has about 2nr / CELL rows of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, saved, small_batches
+from .common import as_bytes, batches_of, pick, saved, small_batches
 
 BANDS, ROWS = 32, 4
+#: Texts of a bucket that is one block; larger ones are dealt to cells of half of that.
 MOST = 1024
+#: Typical texts that a cell of a large bucket names.
+NAMED = 4
 #: How far an estimate may be below the similarity: over three deviations of 128 minima at 0.8.
 MARGIN = 0.12
-#: Links of a text that meet one copy of its set.
+#: Parts that the rows of one key are dealt to when they meet what is known of the key.
+SALTS = 16
+#: Columns of shingles that are multiplied at once.
+COLUMNS = 4096
+#: Rows of a text in blocks that meet one copy of its set.
 SPREAD = 256
 BLOCK = 2048
 SEED = 42
@@ -82,69 +93,160 @@ def sketches(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
     return pick(docs, "text").mapInArrow(found, "fp bigint, class bigint, keys array<bigint>, minima binary")
 
 
-def forest(minima_of: np.ndarray, groups: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of a maximum spanning forest by the share of equal minima, from least on; groups are linked already."""
-    m = len(groups)
-    if (groups == groups[0]).all():
-        return []
-    best, parent, out = np.full(m, -1.0), np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
-    found, at = [], 0
-    for _ in range(m):
-        out[at] = False
-        share = (minima_of == minima_of[at]).mean(axis=1)
-        share[groups == groups[at]] = 2.0
-        nearer = out & (share > best)
-        best[nearer], parent[nearer] = share[nearer], at
-        at = int(np.argmax(np.where(out, best, -2.0)))
-        if out[at] and best[at] >= least and groups[at] != groups[parent[at]]:
-            found.append((int(parent[at]), at))
-    return found
-
-
-def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
-    """a, b: classes that may be so similar. sketched: class, grp (linked already), keys, minima."""
-    rows = sketched.select("class", "grp", F.explode("keys").alias("key"))
-    # Buckets of one group have nothing to link.
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key", "n")
-    cells = F.when(F.col("n") > MOST, F.ceil(F.col("n") / (MOST // 2))).otherwise(F.lit(1))
-    dealt = rows.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("class", "key"), cells)).select("key", "cell", "class", "grp")
-    dealt = dealt.join(sketched.select("class", "minima"), "class").select("key", "cell", "class", "grp", "minima")  # minima of these only
-    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "class")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(table: pa.Table) -> pa.RecordBatch:
-            key, cell, cls, grp = (table.column(c).to_numpy() for c in ("key", "cell", "class", "grp"))
-            flat = np.frombuffer(b"".join(table.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            pairs = set()
-            for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                pairs.update((min(cls[i + a], cls[i + b]), max(cls[i + a], cls[i + b])) for a, b in forest(flat[i:j], grp[i:j], similarity - MARGIN))
-            return pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], names=["a", "b"])
-
-        held = None
+def _by_block(dealt: DataFrame, names: list[str], found: Callable[[pa.Table], list[np.ndarray]], ddl: str) -> DataFrame:
+    """The columns that found() makes of the rows of each block, which have equal columns of these names."""
+    fields = [x.split() for x in ddl.split(", ")]
+    kinds = {"bigint": np.int64, "int": np.int32}
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[pa.Table] = []
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
-            last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if ((key != key[-1]) | (cell != cell[-1])).any() else 0
-            held = table.slice(last)
-            if last:
-                yield of(table.slice(0, last))
-        if held is not None:
-            yield of(held)
+            table = pa.Table.from_batches([batch])
+            columns = [table.column(c).to_numpy() for c in names]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+                block = tuple(c[i] for c in columns)
+                if held and block != last:
+                    yield found(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(i, j - i))
+                last = block
+        if held:
+            yield found(pa.concat_tables(held))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches_of(results(batches), 256):
+            columns = [np.concatenate(c).astype(kinds[k]) for c, (_, k) in zip(zip(*some, strict=True), fields, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in fields])
+
+    small_batches(dealt.sparkSession)
+    return dealt.repartition(*names).sortWithinPartitions(*names, "class").mapInArrow(blocks, ddl)
+
 
-    return dealt.mapInArrow(linked, "a bigint, b bigint").distinct()
+def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows beside what is known of their key: by key and salt, so that one bucket's rows have many tasks."""
+    copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(copies, ["key", "salt"]).drop("salt")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """pairs and the set of one side; a class in many pairs has copies of its set, one for SPREAD pairs."""
-    other = "b" if side == "a" else "a"
-    degree = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("copies"))
-    copied = sets.join(degree.withColumnRenamed(side, "class"), "class")
-    salted = pairs.join(degree, side).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies"))).drop("copies")
-    copied = copied.select(F.col("class").alias(side), F.col("set").alias(f"set_{side}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
-    return salted.join(copied, [side, "copy"]).drop("copy")
+def _cells(n: Column) -> Column:
+    return F.greatest(F.ceil(n / (MOST // 2)), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """key, p, q, side, class, grp: each left text of p's cell and each text of q's meet in the block (key, p, q).
+
+    rows: key, class, grp, left, and the numbers of cells ps (of left texts) and qs (of all). Bits of side: 1 left,
+    2 right.
+    """
+    own_p, own_q = F.pmod(F.xxhash64("class", "key"), F.col("ps")).cast("int"), F.pmod(F.xxhash64("key", "class"), F.col("qs")).cast("int")
+    rows = rows.withColumn("own_p", own_p).withColumn("own_q", own_q)
+    right = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: F.struct(p.alias("p"), F.col("own_q").alias("q"), F.when(F.col("left") & (p == F.col("own_p")), 3).otherwise(2).alias("side")))
+    others = F.filter(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: F.col("left") & (q != F.col("own_q")))
+    left = F.transform(others, lambda q: F.struct(F.col("own_p").alias("p"), q.alias("q"), F.lit(1).alias("side")))
+    return rows.select("key", "class", "grp", F.explode(F.concat(right, left)).alias("at")).select("key", "at.p", "at.q", "at.side", "class", "grp")
+
+
+def typical(rows: DataFrame, minima_of: DataFrame) -> DataFrame:
+    """key, class: of each bucket the texts whose minima agree most with the most frequent ones of their cell."""
+
+    def named(table: pa.Table) -> list[np.ndarray]:
+        flat = _flat(table)
+        counts = np.bincount((flat + 256 * np.arange(BANDS * ROWS)).ravel(), minlength=256 * BANDS * ROWS).reshape(-1, 256)
+        agree = (flat == counts.argmax(axis=1)).sum(axis=1)
+        best = np.argsort(-agree, kind="stable")[:NAMED]
+        return [table.column("key").to_numpy()[best], table.column("class").to_numpy()[best], agree[best]]
+
+    cells = rows.withColumn("cell", F.pmod(F.xxhash64("class", "key"), F.col("qs")).cast("int")).select("key", "cell", "class").join(minima_of, "class")
+    best = _by_block(cells, ["key", "cell"], named, "key bigint, class bigint, agree int").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("agree", "class")), False).alias("best"))
+    return best.select("key", F.explode(F.slice("best", 1, MOST // 2)).alias("b")).select("key", "b.class")
+
+
+def _flat(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
+    """The rows of blocks that have a text of another group at the other side with so large a share of equal minima."""
+
+    def near(table: pa.Table) -> list[np.ndarray]:
+        flat, grp, side = _flat(table), table.column("grp").to_numpy(), table.column("side").to_numpy()
+        right, live = np.flatnonzero(side & 2), np.zeros(len(grp), dtype=bool)
+        for i in np.flatnonzero(side & 1):
+            other = right[grp[right] != grp[i]]
+            close = other[(flat[other] == flat[i]).sum(axis=1) >= least * BANDS * ROWS]
+            live[close] = True
+            live[i] |= len(close) > 0
+        return [table.column(c).to_numpy()[live] for c in ("key", "p", "q", "side", "class", "grp")]
+
+    wide = dealt.join(minima_of, "class").select("key", "p", "q", "side", "class", "grp", "minima")
+    return _by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each left set shares with each right one: a product of 0-1 matrices, exact in 32-bit floats."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    names, ids = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = [len(x) for x in [*left, *right]]
+    row, n = np.repeat(np.arange(len(sizes)), sizes), len(left)
+    both = (np.bincount(ids[row < n], minlength=len(names)) > 0) & (np.bincount(ids[row >= n], minlength=len(names)) > 0)
+    ids = np.where(both, np.cumsum(both) - 1, -1)[ids]
+    row, ids = row[ids >= 0], ids[ids >= 0]
+    order = np.argsort(ids, kind="stable")
+    row, ids = row[order], ids[order]
+    for at in range(0, int(both.sum()), COLUMNS):
+        i, j = np.searchsorted(ids, [at, at + COLUMNS])
+        has = np.zeros((len(sizes), min(COLUMNS, int(both.sum()) - at)), dtype=np.float32)
+        has[row[i:j], ids[i:j] - at] = 1.0
+        out += has[:n] @ has[n:].T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold together what all links (a, b) do."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for x, y in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            root[v] = u
+            kept.append((x, y))
+    return kept
+
+
+def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between groups, by all pairs of different groups in the blocks, on their whole sets."""
+
+    def linked(table: pa.Table) -> list[np.ndarray]:
+        grp, side = table.column("grp").to_numpy(), table.column("side").to_numpy()
+        flat = table.column("set").combine_chunks()
+        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        of = [values[ends[i] : ends[i + 1]] for i in range(len(grp))]
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        if not len(left) or not len(right):
+            return [np.zeros(0, dtype=np.int64)] * 2
+        shared = common([of[i] for i in left], [of[i] for i in right]).astype(np.float64)
+        size = np.array([len(x) for x in of])
+        alike = shared >= similarity * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
+        i, j = np.nonzero(alike & (grp[left][:, None] != grp[right][None, :]))
+        return list(np.array(_forest(grp[left[i]], grp[right[j]]), dtype=np.int64).reshape(-1, 2).T)
+
+    # A text in many blocks has copies of its set, one for SPREAD rows.
+    degree = met.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))
+    copied = sets.join(degree, "class").select("class", "set", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    salted = met.join(degree, "class").withColumn("copy", F.pmod(F.xxhash64("key", "p", "q"), F.col("copies")).cast("int")).drop("copies")
+    wide = salted.join(copied, ["class", "copy"]).select("key", "p", "q", "side", "class", "grp", "set")
+    return _by_block(wide, ["key", "p", "q"], linked, "a bigint, b bigint").distinct()
 
 
 def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -152,11 +254,16 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
 
     Null texts and those without a word have no such link. Repeated rows and copies count once.
     """
+    from .near_dup import components
+
     each = sketches(docs, shingle, fingerprint).groupBy("class").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("minima").alias("minima"))
     roots = grouped.select(F.col("node").alias("fp"), F.col("root"))
     each = saved(each.join(roots, "fp", "left").select("class", F.coalesce("root", "fp").alias("grp"), "keys", "minima"), "similar-sketches")
-    pairs = saved(candidates(each, similarity), "similar-candidates")
-    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
+    minima_of = each.select("class", "minima")
+    rows = each.select("class", "grp", F.explode("keys").alias("key"))
+    # Buckets of one group have nothing to link.
+    several = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    rows = saved(_meet(rows, several), "similar-rows")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +275,25 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
             sets = [shingle_set(words_of(t), shingle).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "set"])
 
-    texts = pick(docs, "text").mapInArrow(classes, "class bigint, text string").join(wanted, "class", "left_semi")
-    sets = saved(texts.mapInArrow(sets_of, "class bigint, set array<bigint>").groupBy("class").agg(F.first("set").alias("set")), "similar-sets")
-    both = _with_set(_with_set(pairs, sets, "a"), sets, "b")
-    common, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-    linked = both.select("a", "b", common.alias("common"), total.alias("total")).where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-9)
-    grp = each.select("class", "grp")
-    named = linked.join(grp.toDF("a", "grp_a"), "a").join(grp.toDF("b", "grp_b"), "b")
-    return named.select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
+    def links(dealt: DataFrame) -> DataFrame:
+        met = saved(in_reach(dealt, minima_of, similarity - MARGIN), "similar-met")
+        texts = pick(docs, "text").mapInArrow(classes, "class bigint, text string").join(met.select("class").distinct(), "class", "left_semi")
+        sets = saved(texts.mapInArrow(sets_of, "class bigint, set array<bigint>").groupBy("class").agg(F.first("set").alias("set")), "similar-sets")
+        return saved(verified(met, sets, similarity), "similar-links")
+
+    large = rows.where(F.col("n") > MOST).withColumn("qs", _cells(F.col("n")))
+    first = None
+    if large.take(1):
+        named = typical(large, minima_of).withColumn("named", F.lit(True))
+        left = large.join(named, ["key", "class"], "left").withColumn("left", F.coalesce("named", F.lit(False))).withColumn("ps", F.lit(1))
+        first = links(_dealt(left))
+        roots = components(first).withColumnRenamed("node", "grp")
+        rows = saved(rows.join(roots, "grp", "left").select("key", "class", F.coalesce("root", "grp").alias("grp"), "n"), "similar-rows")
+    own = rows.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("size"))
+    sizes = own.groupBy("key").agg(F.max(F.struct("size", "grp")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    met = _meet(rows, sizes.select("key", F.col("most.size").alias("size"), F.col("most.grp").alias("major")))
+    whole = F.col("n") <= MOST
+    met = met.withColumn("left", F.col("grp") != F.col("major"))
+    met = met.withColumn("ps", F.when(whole, 1).otherwise(_cells(F.col("n") - F.col("size")))).withColumn("qs", F.when(whole, 1).otherwise(_cells(F.col("n"))))
+    found = links(_dealt(met))
+    return found if first is None else found.unionAll(first)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pixelloom.llm import language_id, media, mixing, near_dup, packing, pii, quality_model, quality_rules, sharding, token_codes
+from pixelloom.llm import language_id, media, mixing, near_dup, packing, pii, quality_model, quality_rules, sharding, similar_links, token_codes
 from pixelloom.llm.common import new_path
 from pixelloom.llm.tokens import encoder
 
@@ -340,3 +340,32 @@ def test_similar_texts_are_one_group(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert got == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def _split_pairs(spark, texts, least=0.8):
+    """How many pairs of so similar texts there are, and how many of them the groups set apart; SimHash links too."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group = {r["doc_id"]: r["component_id"] for r in near_dup.groups(docs, similarity=least).collect()}
+    sets = [_five_words(t) for t in texts]
+    at = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(texts), len(at)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        has[i, [at[s] for s in own]] = 1
+    shared, size = has @ has.T, has.sum(axis=1)
+    alike = np.triu(10 * shared >= 10 * least * (size[:, None] + size[None, :] - shared) - 1e-6, 1)
+    pairs = np.argwhere(alike)
+    return len(pairs), sum(group[i] != group[j] for i, j in pairs.tolist())
+
+
+def test_large_group_that_one_text_holds_together(spark, monkeypatch):
+    monkeypatch.setattr(similar_links, "MOST", 64)
+    draw = random.Random(3)
+    base = [f"w{k}" for k in range(500)]
+    texts = [" ".join(base)]
+    for c in range(3000):
+        text = list(base)
+        for k in draw.sample(range(0, 500, 6), 8):
+            text[k] = f"new{c}x{k}"
+        texts.append(" ".join(text))
+    pairs, split = _split_pairs(spark, texts)
+    assert pairs >= 3000 and split == 0
