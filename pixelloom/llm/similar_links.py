@@ -29,8 +29,8 @@ BANDS, ROWS = 32, 4
 MOST = 1024
 #: Typical texts that a cell of a large bucket names.
 NAMED = 4
-#: How far an estimate may be below the similarity: over three deviations of 128 minima at 0.8.
-MARGIN = 0.12
+#: How far an estimate may be below the similarity: of pairs at 0.8, one in 3 * 10 ** 7 is estimated lower by 128 minima.
+MARGIN = 0.21
 #: Parts that the rows of one key are dealt to when they meet what is known of the key.
 SALTS = 16
 #: Columns of shingles that are multiplied at once.

@@ -369,3 +369,16 @@ def test_large_group_that_one_text_holds_together(spark, monkeypatch):
         texts.append(" ".join(text))
     pairs, split = _split_pairs(spark, texts)
     assert pairs >= 3000 and split == 0
+
+
+def test_variants_of_a_template_on_both_sides_of_the_limit(spark):
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for c in range(300):
+        text = list(base)
+        for k in draw.sample(range(0, 200, 5), 3):
+            text[k] = f"new{c}x{k}"
+        texts.append(" ".join(text))
+    pairs, split = _split_pairs(spark, texts)
+    assert 100 < pairs < 40_000 and split == 0
