@@ -38,7 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings with an id of their own, also in a text; a unit with one is encoded alone.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = bool(self.whole(" "))
         mark = "\n" if self.keeps_space else "\x01"
         self.mark, (self.mark_id,) = mark.encode(), self.whole(mark)
@@ -59,7 +60,7 @@ class Encoder:
         plain, odd, glue = [], [], b" " + self.mark + b" "
         for u in units:
             # A marked unit starts with a space and a visible character; so white space before it is the mark alone.
-            fits = self.mark not in u and (not self.keeps_space or (u[:1] == b" " and not u[1:2].isspace() and not u[-1:].isspace()))
+            fits = self.mark not in u and (not self.keeps_space or (u[:1] == b" " and not u[1:2].isspace() and not u[-1:].isspace())) and not any(s in u.lower() for s in self.special)
             (plain if fits else odd).append(u)
         if self.keeps_space:
             glue = self.mark

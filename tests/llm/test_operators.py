@@ -382,3 +382,17 @@ def test_variants_of_a_template_on_both_sides_of_the_limit(spark):
         texts.append(" ".join(text))
     pairs, split = _split_pairs(spark, texts)
     assert 100 < pairs < 40_000 and split == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_library_for_special_strings(name):
+    from tokenizers import Tokenizer
+
+    from pixelloom.llm.tokens import vocabulary_path
+
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end", "oftext|>", "a", "word", " ", "  ", "\n", "\n\n ", "é"]
+    draw = random.Random(6)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x\n\n <|endoftext|>\n y<|startoftext|>z", *["".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(3000)]]
+    for t, ids in zip(texts, encoder(name).batch(texts), strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
