@@ -15,12 +15,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, small_batches
+from .common import as_bytes, pick, small_batches
 
 #: Kinds in their order; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 
-# Schemes and cues.
+# Schemes and cues, in any case.
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("account", "acct", "iban", "passport", "ssn", "customer id", "user id", "member id")
 
@@ -48,8 +48,7 @@ def automaton():
     found.add_word("+", ("plus", 1))
     for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
         for w in words:
-            for v in {w, w.upper(), w.capitalize(), w.title()}:
-                found.add_word(v, (kind, len(v)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
@@ -78,7 +77,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         return []
     out: list[tuple[int, int, str]] = []
     n, email_to, dotted_to, card_to, phone_to, url_to, account_to = len(text), 0, 0, 0, 0, 0, 0
-    for last, (kind, length) in automaton().iter(text):
+    lower = text.lower() if text.isascii() else as_bytes(text).lower().decode("utf-8", "surrogatepass")  # A-Z only: places stay
+    for last, (kind, length) in automaton().iter(lower):
         at = last - length + 1
         if kind == "digit":
             # Both rules start at the leftmost digit of a run and read on as far as they can.

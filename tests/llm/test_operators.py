@@ -396,3 +396,10 @@ def test_ids_are_those_of_the_library_for_special_strings(name):
     texts = ["<|endoftext|>", "a <|endoftext|> b", "x\n\n <|endoftext|>\n y<|startoftext|>z", *["".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(3000)]]
     for t, ids in zip(texts, encoder(name).batch(texts), strict=True):
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_cues_are_found_in_any_case():
+    for cue in ("Customer ID: 12345678", "User ID 123456", "customer ID: 12345678", "Member ID 12345678", "iBAN: DE44500105175407324931"):
+        for before in ("", "Größe İ "):
+            found = [s for s in pii.spans(before + cue) if s[2] == "account"]
+            assert len(found) == 1 and (before + cue)[found[0][0] : found[0][1]] == cue.split(" ")[-1], cue
