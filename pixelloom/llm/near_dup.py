@@ -238,6 +238,12 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, s
     unless it has no other: then component_id is null. Repeated rows come out as often. An empty table gives no rows.
     Other columns of docs don't matter.
     """
+    marked, label = _labels(docs, shingle, radius, seed, similarity)
+    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(docs: DataFrame, shingle: int, radius: int, seed: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row; and fp, root, component_id of every fingerprint: root is the same in all of its group."""
     marked = saved(fingerprints(docs, shingle, seed), "simhash")
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     of = components(links(distinct.select("fp"), radius))
@@ -248,9 +254,8 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, s
     # Fingerprints without a link are groups of their own; the others get the least doc_id of their component.
     linked = of.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = saved(linked.join(least, "root").select(F.col("node").alias("fp"), "component"), "simhash-groups")
-    label = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+    named = saved(linked.join(least, "root").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
+    return marked, distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -258,14 +263,15 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
-    """The columns of documents: of each group the row with the smallest doc_id.
+    """The columns of documents: of each group the row with the smallest doc_id; of a group without any, the least row.
 
     Of rows with equal doc_id and fingerprint one stays, the least by its columns; with equal ids but different
-    fingerprints each stays, as do all rows without a doc_id: nothing tells them apart. The fingerprints of texts are
-    computed again here, which is cheaper than to keep texts beside them.
+    fingerprints each stays. Rows without a doc_id go if their group has a document with one; else one stays, the least
+    by its columns. The fingerprints of texts are computed again here, which is cheaper than to keep texts beside them.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    found = groups(docs, shingle, radius, seed, similarity).where(F.col("doc_id") == F.col("component_id"))
+    marked, label = _labels(docs, shingle, radius, seed, similarity)
+    found = marked.join(label, "fp").where(F.col("doc_id") == F.col("component_id"))
     stay = saved(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-stay")
     kept = fingerprints(docs, shingle, seed, *names).join(stay, ["doc_id", "fp"])
     single = kept.where("n = 1").select(*names)
@@ -274,4 +280,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int =
     else:
         least = kept.where("n > 1").groupBy("doc_id", "fp").agg(F.min(F.struct(*names)).alias("row"))
         several = least.select("row.*")
-    return single.unionAll(several).unionAll(pick(docs, *names).where("doc_id IS NULL"))
+    nameless = label.where("component_id IS NULL").select("fp", "root")
+    least = fingerprints(pick(docs, *names).where("doc_id IS NULL"), shingle, seed, *names).groupBy("fp").agg(F.min(F.struct(*names)).alias("row"))
+    unnamed = least.join(nameless, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return single.unionAll(several).unionAll(unnamed.select("row.*"))

@@ -403,3 +403,11 @@ def test_cues_are_found_in_any_case():
         for before in ("", "Größe İ "):
             found = [s for s in pii.spans(before + cue) if s[2] == "account"]
             assert len(found) == 1 and (before + cue)[found[0][0] : found[0][1]] == cue.split(" ")[-1], cue
+
+
+def test_rows_without_an_id_are_deduplicated(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "abc"]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1].upper()), (None, texts[2]), (5, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in near_dup.one_of_each(docs, similarity=0.8).collect())
+    assert got == sorted([("1", texts[0]), ("None", texts[1].upper()), ("None", texts[2]), ("5", "other words")])
