@@ -1,12 +1,14 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by language and source.
 
-Each document has a vector of transformed statistics. For every (lang, source) a minimum-covariance-determinant
-estimate is found: from medians and deviations about them, concentration steps take the mean and covariance of the
-part of the rows that is nearest so far, over all rows. A document goes if its Mahalanobis distance is beyond a fixed
-limit. Groups of fewer than LEAST rows use the estimate of their language, small languages that of all documents.
-
-All statistics of groups are aggregates with partial sums, so a source with most of the rows is not gathered anywhere;
-the estimates are a few numbers for each group, in a DataFrame.
+Each document has a vector of transformed statistics. For every (lang, source), every language and all documents a
+minimum-covariance-determinant estimate is found over all their rows: from several deterministic starts (medians with
+deviations about them, covariances of squashed and of unit vectors, plain covariances) concentration steps take mean and
+covariance of the part of the rows that is nearest so far. After some steps the start of the least determinant goes on,
+until no step lessens it. A group's estimate is drawn towards its parent's by one rule for every size, and a document
+goes if its Mahalanobis distance is beyond a fixed limit.
+
+Medians and the distance that parts the nearest rows come from histograms with fixed bounds, summed by group and bucket;
+so sums of a group are never gathered in one task, and reruns agree. The estimates are a few numbers for each group.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import DOCUMENT_TYPES, as_bytes, pick, saved, small_batches
 
@@ -26,16 +29,25 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: The part of the rows that the estimate is for, concentration steps, and rows a group must have.
-PART, STEPS, LEAST = 0.75, 3, 60
+#: The part of the rows that the estimate is for; steps of every start, and of the best one at most.
+PART, FIRST_STEPS, MOST_STEPS = 0.75, 2, 20
+#: A determinant that a step lessens by a smaller factor stands still.
+STILL = 1e-3
+#: Rows that a parent's estimate counts as beside a group's own.
+PARENT = 50
 #: Parts that rows of one group are dealt to when they meet the group's numbers, which have a copy for each part.
 SALTS = 64
+#: Buckets of statistics (for one unit) and of distances (for a doubling of 1 + d).
+FINE, OCTAVE = 512, 32
 #: Documents beyond this squared distance go. It is far out (chi-square of 5 dimensions: 1 in 10**11), since clean
 #: statistics have longer tails than a normal distribution.
 LIMIT = 60.0
 #: Least standard deviation of each statistic: most documents have no symbol, so the estimates alone could be zero.
-STATISTICS = {"symbols": 0.25, "length": 0.12, "repeats": 0.18, "lines": 0.15, "upper": 0.1}
+#: Each is small enough that an extreme value of that statistic alone is beyond the limit.
+STATISTICS = {"symbols": 0.25, "length": 0.12, "repeats": 0.08, "lines": 0.12, "upper": 0.1}
 D = len(STATISTICS)
+FLOORS = np.array(list(STATISTICS.values()))
+UPPER = np.triu_indices(D)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -114,29 +126,25 @@ def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
 
-def _distance(mean: str, inverse: str) -> Column:
-    """The squared Mahalanobis distance, as one expression of the rows' and the group's columns."""
+def _distance(mean: Column, inverse: Column) -> Column:
+    """The squared Mahalanobis distance, as one expression of the rows' columns and the group's."""
     total = F.lit(0.0)
     for i in range(D):
         for j in range(i, D):
-            product = (_x(i) - F.col(mean)[i]) * (_x(j) - F.col(mean)[j]) * F.col(inverse)[i * D + j]
+            product = (_x(i) - mean[i]) * (_x(j) - mean[j]) * inverse[i * D + j]
             total = total + (product if i == j else 2 * product)
     return total
 
 
-def _inverted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """key, n, s, ss -> key, n, mean, inverse: covariances with a least deviation, scaled for the part they are from."""
-    floor = np.diag(np.square(list(STATISTICS.values())))
-    for part in parts:
-        means, inverses = [], []
-        for n, s, ss in zip(part["n"], part["s"], part["ss"], strict=True):
-            mean = np.array(s) / n
-            cov = np.zeros((D, D))
-            cov[np.triu_indices(D)] = np.array(ss) / n
-            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
-            means.append(mean.tolist())
-            inverses.append(np.linalg.inv(cov * CONSISTENCY + floor).ravel().tolist())
-        yield pd.DataFrame({"key": part["key"], "n": part["n"], "mean": means, "inverse": inverses})
+def _square(upper: np.ndarray) -> np.ndarray:
+    out = np.zeros((D, D))
+    out[UPPER] = upper
+    return out + np.triu(out, 1).T
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """A covariance of the nearest part, scaled to that of all rows, with the least deviations."""
+    return cov * CONSISTENCY + np.diag(FLOORS**2)
 
 
 def _consistency() -> float:
@@ -167,24 +175,116 @@ def _meet(long: DataFrame, groups: DataFrame) -> DataFrame:
     return long.join(copies, ["key", "salt"])
 
 
+def medians(long: DataFrame) -> DataFrame:
+    """key, n, m, dev: medians of the statistics by group and deviations about them, to 1 / FINE."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(_x(i) * FINE).cast("int").alias("b")) for i in range(D)]))
+    counts = long.select("key", each.alias("v")).groupBy("key", "v.i", "v.b").agg(F.count(F.lit(1)).alias("c"))
+    # Windows go over the buckets of one statistic of one group: some thousands, whatever the number of rows.
+    own = Window.partitionBy("key", "i")
+    upto = counts.withColumn("n", F.sum("c").over(own)).withColumn("upto", F.sum("c").over(own.orderBy("b")))
+    mid = upto.withColumn("m", F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("b"))).over(own)).withColumn("off", F.abs(F.col("b") - F.col("m")))
+    off = mid.withColumn("upto", F.sum("c").over(own.orderBy("off")))
+    dev = off.groupBy("key", "i").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("off"))).alias("dev"))
+    by_place = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda s: s[c] / float(FINE))
+    return dev.groupBy("key").agg(F.first("n").alias("n"), by_place("m").alias("m"), by_place("dev").alias("dev"))
+
+
+def _starts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, n, m, scale and sums of z, tanh(z) and z / |z| -> key, n, m and the starts: (start, mean, inverse, logdet)."""
+    for part in parts:
+        out = []
+        for n, m, scale, z, zz, t, tt, uu in zip(*(part[c] for c in ("n", "m", "scale", "z", "zz", "t", "tt", "uu")), strict=True):
+            m, scale, z, t = np.array(m), np.array(scale), np.array(z) / n, np.array(t) / n
+            scaled = np.diag(scale)
+            plain, squashed, unit = _square(np.array(zz) / n) - np.outer(z, z), _square(np.array(tt) / n) - np.outer(t, t), _square(np.array(uu) / n) * D
+            for start, (mean, cov) in enumerate(((m, np.eye(D)), (m, squashed), (m, unit), (m + scale * z, plain))):
+                inverse = np.linalg.inv(scaled @ cov @ scaled + np.diag(FLOORS**2))
+                out.append((start, mean.tolist(), inverse.ravel().tolist()))
+        keys = part.loc[part.index.repeat(4), ["key", "n", "m"]].reset_index(drop=True)
+        yield keys.assign(start=[o[0] for o in out], mean=[o[1] for o in out], inverse=[o[2] for o in out], cov=[[0.0] * D * D for _ in out], logdet=float("inf"))
+
+
+_STATE = "key string, n bigint, m array<double>, start int, mean array<double>, inverse array<double>, cov array<double>, logdet double"
+
+
+def _stepped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums about m of the nearest rows -> mean, covariance, its inverse and the logarithm of its determinant."""
+    for part in parts:
+        means, inverses, covs, dets = [], [], [], []
+        for h, m, s, ss in zip(part["h"], part["m"], part["s"], part["ss"], strict=True):
+            s = np.array(s) / h
+            cov = _square(np.array(ss) / h) - np.outer(s, s)
+            full = floored(cov)
+            means.append((np.array(m) + s).tolist())
+            covs.append(cov.ravel().tolist())
+            inverses.append(np.linalg.inv(full).ravel().tolist())
+            dets.append(float(np.linalg.slogdet(full)[1]))
+        yield part[["key", "n", "m", "start"]].assign(mean=means, inverse=inverses, cov=covs, logdet=dets)
+
+
+def concentrated(long: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after one step: of the PART of a group's rows that is nearest, mean and covariance.
+
+    Rows are summed by bucket of their distance; the nearest ones are those up to the bucket in which PART is reached.
+    """
+    packed = state.groupBy("key").agg(F.first("m").alias("m"), F.collect_list(F.struct("start", "mean", "inverse")).alias("of"))
+    met = _meet(long, packed).select("key", "m", *[_x(i) for i in range(D)], F.explode("of").alias("o"))
+    far = F.least(F.floor(OCTAVE * F.log2(1 + F.greatest(_distance(F.col("o.mean"), F.col("o.inverse")), F.lit(0.0)))), F.lit(20 * OCTAVE)).cast("int")
+    near = met.select("key", "o.start", far.alias("b"), *[(_x(i) - F.col("m")[i]).alias(f"x{i}") for i in range(D)])
+    sums = near.groupBy("key", "start", "b").agg(F.count(F.lit(1)).alias("h"), *[F.sum(_x(i)).alias(f"s{i}") for i in range(D)], *[F.sum(_x(i) * _x(j)).alias(f"s{i}_{j}") for i, j in zip(*UPPER, strict=True)])
+    own = Window.partitionBy("key", "start")
+    upto = sums.withColumn("n", F.sum("h").over(own)).withColumn("before", F.sum("h").over(own.orderBy("b")) - F.col("h"))
+    inside = upto.where(F.col("before") < PART * F.col("n")).groupBy("key", "start").agg(
+        F.sum("h").alias("h"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s"), F.array(*[F.sum(f"s{i}_{j}") for i, j in zip(*UPPER, strict=True)]).alias("ss")
+    )
+    return inside.join(state.select("key", "start", "n", "m"), ["key", "start"]).mapInPandas(_stepped, _STATE)
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """key, n, mean, inverse of each group of rows (lang, source, salt, x0..)."""
+    """key, n, mean, cov of each group of rows (lang, source, salt, x0..): of all its starts the least determinant."""
     long = rows.select(F.explode(_keys()).alias("key"), "salt", *[_x(i) for i in range(D)])
-    moments = [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(_x(i)) for i in range(D)]).alias("s"), F.array(*[F.sum(_x(i) * _x(j)) for i in range(D) for j in range(i, D)]).alias("ss")]
-    ddl = "key string, n bigint, mean array<double>, inverse array<double>"
-    median = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in range(D)])
-    off = _meet(long, median).groupBy("key").agg(F.first("n").alias("n"), F.array(*[F.first(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[F.percentile_approx(F.abs(_x(i) - F.col(f"m{i}")), 0.5) for i in range(D)]).alias("mad"))
-    # Deviations about the median times 1.4826 are standard deviations, were the rows normal.
-    floors = list(STATISTICS.values())
-    start = F.array(*[1 / (F.pow(1.4826 * F.col("mad")[i], F.lit(2.0)) + floors[i] ** 2) if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
-    state = saved(off.select("key", "n", "mean", start.alias("inverse")), "mcd")
-    for _ in range(STEPS):
-        near = _meet(long, state.drop("n")).withColumn("d", _distance("mean", "inverse")).drop("mean", "inverse")
-        limit = saved(near.groupBy("key").agg(F.percentile_approx("d", PART).alias("limit")), "mcd-limit")
-        sums = _meet(near, limit).where(F.col("d") <= F.col("limit")).groupBy("key").agg(*moments)
-        steps = sums.mapInPandas(_inverted, ddl)
-        state = saved(steps.drop("n").join(state.select("key", "n"), "key").select("key", "n", "mean", "inverse"), "mcd")
-    return state
+    mid = saved(medians(long).withColumn("scale", F.transform(F.arrays_zip("dev", F.array(*[F.lit(float(f)) for f in FLOORS]).alias("f")), lambda s: F.greatest(1.4826 * s["dev"], s["f"]))), "mcd-medians")
+    z = _meet(long, mid.select("key", "m", "scale")).select("key", *[((_x(i) - F.col("m")[i]) / F.col("scale")[i]).alias(f"x{i}") for i in range(D)])
+    z = z.withColumn("r", F.greatest(sum((_x(i) * _x(i) for i in range(1, D)), _x(0) * _x(0)), F.lit(1e-12)))
+    t = [(1 - 2 / (F.exp(2 * F.least(F.greatest(_x(i), F.lit(-20.0)), F.lit(20.0))) + 1)) for i in range(D)]
+    pairs = list(zip(*UPPER, strict=True))
+    sums = z.groupBy("key").agg(
+        F.array(*[F.sum(_x(i)) for i in range(D)]).alias("z"), F.array(*[F.sum(_x(i) * _x(j)) for i, j in pairs]).alias("zz"), F.array(*[F.sum(t[i]) for i in range(D)]).alias("t"),
+        F.array(*[F.sum(t[i] * t[j]) for i, j in pairs]).alias("tt"), F.array(*[F.sum(_x(i) * _x(j) / F.col("r")) for i, j in pairs]).alias("uu"),
+    )
+    state = saved(sums.join(mid, "key").mapInPandas(_starts, _STATE), "mcd")
+    for _ in range(FIRST_STEPS):
+        state = saved(concentrated(long, state), "mcd")
+    least = lambda s: s.groupBy("key").agg(F.min_by(F.struct(*s.columns), F.struct("logdet", "start")).alias("s")).select("s.*")
+    active, done = saved(least(state), "mcd"), None
+    for _ in range(MOST_STEPS):
+        new = concentrated(long, active)
+        both = new.join(active.select("key", F.struct(*active.columns).alias("old")), "key")
+        # A step counts if it lessens the determinant; a group for which it doesn't is done.
+        step = saved(both.withColumn("better", F.col("logdet") < F.col("old.logdet") - STILL), "mcd")
+        still = step.where(~F.col("better")).select("old.*")
+        done = still if done is None else done.unionByName(still)
+        active = step.where("better").select(*active.columns)
+        if not active.take(1):
+            break
+    return done.unionByName(active).select("key", "n", "mean", "cov")
+
+
+def _drawn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A group's estimate and its parents' -> mean and inverse: each drawn towards the one above by PARENT rows."""
+    for part in parts:
+        means, inverses = [], []
+        for of in part["of"]:
+            mean = cov = None
+            for e in sorted(of, key=lambda e: e["key"]):
+                m, c, n = np.array(e["mean"]), np.array(e["cov"]).reshape(D, D), e["n"]
+                w = 1.0 if mean is None else n / (n + PARENT)
+                # What a small group's mean is away from its parent's adds to the spread of the two together.
+                cov = c if cov is None else w * c + (1 - w) * cov + w * (1 - w) * np.outer(m - mean, m - mean)
+                mean = m if mean is None else w * m + (1 - w) * mean
+            means.append(mean.tolist())
+            inverses.append(np.linalg.inv(floored(cov)).ravel().tolist())
+        yield part[["l", "s"]].assign(mean=means, inverse=inverses)
 
 
 def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
@@ -200,18 +300,21 @@ def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
     measured = narrow.where(~F.col("base_failed"))
     vectors = saved(measured.select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
     of = estimates(vectors)
-    # The finest group of a row that has enough rows, from the pairs of lang and source that there are.
-    pairs = vectors.select("lang", "source").distinct().withColumn("key", F.explode(_keys())).join(of, "key")
-    enough = pairs.where((F.col("n") >= LEAST) | (F.col("key") == '{"k":0}'))
-    finest = enough.groupBy("lang", "source").agg(F.max(F.struct("key", "mean", "inverse")).alias("e")).select(F.col("lang").alias("l"), F.col("source").alias("s"), "e.mean", "e.inverse")
-    finest = saved(finest, "mcd-finest")
+    # Each pair of lang and source that there is, with its own numbers and those of its parents: three rows a pair.
+    pairs = vectors.select("lang", "source").distinct().select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(_keys()).alias("key"))
+    together = pairs.join(of, "key").groupBy("l", "s").agg(F.collect_list(F.struct("key", "n", "mean", "cov")).alias("of"))
+    finest = saved(together.mapInPandas(_drawn, "l string, s string, mean array<double>, inverse array<double>"), "mcd-finest")
     with_x = found.select("*", *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())])
     judged = with_x.join(finest, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    distance = F.when(~F.col("base_failed"), _distance("mean", "inverse"))
+    distance = F.when(~F.col("base_failed"), _distance(F.col("mean"), F.col("inverse")))
     return judged.withColumn("distance", distance).withColumn("kept", F.coalesce(F.col("distance") <= limit, F.lit(False))).drop("mean", "inverse", "l", "s", *[f"x{i}" for i in range(D)])
 
 
 def kept_documents(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """The columns of documents of the rows that the rules keep."""
+    """The columns of documents of the rows that the rules keep.
+
+    Null, empty and short texts fail the base rules and go; repeated rows stay or go together. Null ids, languages and
+    sources are values like others. An empty table gives no rows. Other columns of docs don't matter.
+    """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     return judge(docs, limit, *names).where("kept").select(*names)
