@@ -34,7 +34,9 @@ PHONE_RUN = re.compile(r"[ ().0-9-]*")
 HOST = re.compile(r"(?:[A-Za-z0-9._~%!$&'()*+,;=:-]*@)?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?::[0-9]{1,5})?")
 PATH = re.compile(r"[/?#][A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]*")
 JOIN = re.compile(r"(?:[ ]?(?:number|no\.?|num|#|id))?[ ]?[:=#]?[ ]?\"?", re.IGNORECASE)
-IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9])*")
+#: Letters and digits of an identifier at most, and a group of it: one more is read, so that a longer group shows.
+LONGEST = 34
+GROUP = re.compile(rf"[A-Za-z0-9]{{1,{LONGEST + 1}}}")
 
 
 @lru_cache(1)
@@ -127,17 +129,19 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
 
 def account(text: str, at: int) -> tuple[int, int] | None:
     """The identifier right after a cue: from 6 to 34 letters and digits with four digits at least, or an IBAN."""
-    start = JOIN.match(text, at).end()
-    if start == at or not (m := IDENTIFIER.match(text, start)):
-        return None
-    # Groups belong to it as long as they have a digit: words that follow don't.
+    at_first = start = JOIN.match(text, at).end()
+    # Groups, parted by one space or hyphen, belong to it as long as they have a digit: words that follow don't. The
+    # reading ends at the first that doesn't, or beyond LONGEST, so a cue costs the same whatever follows.
     end, size, digits = start, 0, 0
-    for part in re.finditer(r"[A-Za-z0-9]+", m[0]):
-        has = sum(c in "0123456789" for c in part[0])
-        if not has or size + len(part[0]) > 34:
+    while start > at and (m := GROUP.match(text, start)):
+        has = sum(c in "0123456789" for c in m[0])
+        size += len(m[0])
+        if not has or size > LONGEST:
+            size -= len(m[0])
             break
-        end, size, digits = start + part.end(), size + len(part[0]), digits + has
-    return (start, end) if size >= 6 and digits >= 4 else None
+        end, digits = m.end(), digits + has
+        start = end + 1 if text[end : end + 1] in (" ", "-") else len(text)
+    return (at_first, end) if size >= 6 and digits >= 4 else None
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
