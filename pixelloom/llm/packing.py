@@ -1,9 +1,10 @@
 """Packing by first-fit decreasing over a tournament tree, in randomised groups of documents.
 
-Documents are dealt to groups by a hash of their place in the order (doc_id and text), about GROUP documents each; the
-number of groups follows the table. Every group is packed on its own: so packing needs one shuffle and no more memory
-than a group's ids. A document longer than a sequence is cut at multiples of its length. Pieces go, longest first, into
-the leftmost sequence with room, found in a tree of which each inner node holds the larger of its sons' free places.
+Documents are dealt to groups by a hash of doc_id, text and the number of the part of the table that they are read in,
+about GROUP documents each; the number of groups follows the table. A document longer than a sequence is cut at
+multiples of its length. Pieces go, longest first, into the leftmost sequence with room, found in a tree of which each
+inner node holds the larger of its sons' free places. Spark sorts a group's pieces (and spills), so they are placed as
+they come: a task holds the tree, one number for a sequence, and no piece. One shuffle does it.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from .tokens import encoder
 
 #: Documents for each group, on average.
 GROUP = 4096
-#: Pieces packed together at most: a group with many more (a hot key) is packed in runs.
-RUN = 1 << 15
+#: Groups for each partition, and partitions at most.
+TOGETHER, PARTITIONS = 4, 100_000
 
 
 class Tournament:
-    """Free places of up to n bins; first(size) is the leftmost bin with room."""
+    """Free places of bins of one capacity; first(size) is the leftmost bin with room. It grows as bins are wanted."""
 
-    def __init__(self, n: int, capacity: int) -> None:
-        self.leaves = 1 << max(0, (n - 1).bit_length())
-        self.tree = [capacity] * (2 * self.leaves)
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.leaves, self.tree = capacity, 1, [capacity, capacity]
 
     def first(self, size: int) -> int:
+        while self.tree[1] < size:
+            self.grow()
         tree, i = self.tree, 1
         while i < self.leaves:
             i *= 2
@@ -39,6 +41,14 @@ class Tournament:
                 i += 1
         return i - self.leaves
 
+    def grow(self) -> None:
+        """Twice as many bins: each level of the tree gets as many free ones to its right."""
+        tree, width = [self.capacity, self.capacity], 1
+        while width <= self.leaves:
+            tree += self.tree[width : 2 * width] + [self.capacity] * width
+            width *= 2
+        self.leaves, self.tree = 2 * self.leaves, tree
+
     def take(self, i: int, size: int) -> int:
         """Put size into bin i; the places taken there before."""
         tree, i = self.tree, i + self.leaves
@@ -50,22 +60,32 @@ class Tournament:
             if tree[i] == most:
                 break
             tree[i] = most
-        return free
+        return self.capacity - free
+
+
+class FirstFit:
+    """Places of pieces that come longest first: full ones have a bin of their own, before all others."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.full, self.tree = capacity, 0, Tournament(capacity)
+
+    def place(self, size: int) -> tuple[int, int]:
+        """(bin, offset in it)."""
+        if not 0 < size <= self.capacity:
+            raise ValueError("a piece must have from 1 to capacity tokens")
+        if size == self.capacity:
+            self.full += 1
+            return self.full - 1, 0
+        b = self.tree.first(size)
+        return self.full + b, self.tree.take(b, size)
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     """(bin, offset in it) of each size; equal sizes in their order."""
-    if any(not 0 < s <= capacity for s in sizes):
-        raise ValueError("a piece must have from 1 to capacity tokens")
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    full = sum(s == capacity for s in sizes)  # they come first, each alone in its bin
     out: list = [None] * len(sizes)
-    for k, i in enumerate(order[:full]):
-        out[i] = (k, 0)
-    tree = Tournament(max(1, len(sizes) - full), capacity)
-    for i in order[full:]:
-        b = tree.first(sizes[i])
-        out[i] = (full + b, capacity - tree.take(b, sizes[i]))
+    fit = FirstFit(capacity)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        out[i] = fit.place(sizes[i])
     return out
 
 
@@ -76,14 +96,15 @@ _PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int | None = 1, group: int = GROUP, seed: int = 7) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
 
-    Null and empty texts are end_id alone. Repeated rows are each packed. Equal documents draw the same place, and ties
-    are alike, so reruns agree. An empty table gives no rows. Other columns of docs don't matter.
+    Null and empty texts are end_id alone. Repeated rows are each packed, those of different parts of the table in
+    different groups. Rows that draw alike and have equal pieces are exchangeable, so reruns over the same parts agree.
+    An empty table gives no rows. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = pick(docs, "doc_id", "text")
     groups = max(1, -(-rows.count() // group))
-    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))).withColumn("grp", F.pmod("draw", F.lit(groups)))
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")), F.spark_partition_id())).withColumn("grp", F.pmod("draw", F.lit(groups)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(vocabulary), [] if end_id is None else [end_id]
@@ -97,26 +118,18 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k.js
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, run, first = None, [], 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal first
-            places = first_fit_decreasing([x[2] for x in run], length)
-            for some in batches_of(zip(run, places, strict=True), 2000):
-                out = [(d, s, n, t, np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes(), (now << 32) + first + b, o) for (d, s, n, t, ids), (b, o) in some]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
-            first += 1 + max((b for b, _ in places), default=-1)
-
+        now, fit = None, None
         for batch in batches:
-            for grp, *piece in zip(*(batch.column(c).to_pylist() for c in ("grp", "doc_id", "start", "length", "doc_tokens", "ids")), strict=True):
-                if run and (grp != now or len(run) >= RUN):
-                    yield from packed()
-                    run, first = [], first if grp == now else 0
-                now = grp
-                run.append(piece)
-        if run:
-            yield from packed()
+            for some in batches_of(zip(*(batch.column(c).to_pylist() for c in ("grp", "doc_id", "start", "length", "doc_tokens", "ids")), strict=True), 500):
+                out = []
+                for grp, d, s, n, t, ids in some:
+                    if grp != now:
+                        now, fit = grp, FirstFit(length)
+                    b, o = fit.place(n)
+                    out.append((d, s, n, t, np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes(), (now << 32) + b, o))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
     pieces = drawn.mapInArrow(encode, "grp bigint, draw bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
-    dealt = pieces.repartition("grp").sortWithinPartitions("grp", "draw", "doc_id", "start")
+    partitions = min(PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // TOGETHER)))
+    dealt = pieces.repartition(partitions, "grp").sortWithinPartitions("grp", F.desc("length"), "draw", "doc_id", "start")
     return dealt.mapInArrow(fill, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint")
