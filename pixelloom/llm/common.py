@@ -33,17 +33,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new one where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new one.
+
+    A new one lies on this machine, so it is made only for a local master; a cluster must name a shared folder.
+    """
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = os.environ.get("PIXELLOOM_SHARED_DIR") or tempfile.mkdtemp(prefix="pixelloom-")
     os.environ["PIXELLOOM_SHARED_DIR"] = made
     return f"file://{made}"
 
 
+#: Folders that this process has made in the shared folder.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder so far: only when no result over it is read any more."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -78,8 +95,12 @@ def batches_of(items: Iterable, n: int):
         yield batch
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, since single texts can be long; a lower setting stays."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of so many rows and bytes at most, since single texts can be long; lower settings stay.
+
+    Plans read these settings when they run, so they stay set in the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
