@@ -2,8 +2,9 @@
 
 A rolling gear hash cuts each payload where its top bits are zero, between LEAST and MOST bytes. Chunks that the corpus
 has more than once go to a shared table, each digest once; all others stay with their payload. A row of the media
-table has the ordered list of its chunks (length, digest, whether shared) and its own chunks' bytes. A payload is put
-together from both and verified.
+table has the stored form of a payload: lengths, the ordered list of its chunks (length, digest, whether shared) and its
+own chunks' bytes. A payload is put together from that form and the shared chunks that it names, and verified; what is
+said about the form (its size and hash) is measured on the bytes read back.
 
 Which digests are shared: digests are counted by a Spark aggregate, and those with a count over one set bits in a
 fixed bitmap of BITMAP bits, which workers get. A bit that is set by another digest only makes a chunk take the shared
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -81,17 +82,25 @@ def chunks(raw: bytes) -> list[tuple[bytes, bytes]]:
     return [(hashlib.sha256(part := raw[a:b]).digest(), part) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _entry(length: int, shared: bool, digest: bytes) -> bytes:
-    return ENTRY.pack(length, shared, digest)
-
-
 def _bit(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") % BITMAP
 
 
-def container(raw: bytes, n_bytes: int, entries: list[tuple[int, bytes]]) -> bytes:
-    """The stored form of a payload on its own: magic, lengths, the list of chunks and their bytes in order."""
-    return b"".join([MAGIC, struct.pack("<QQI", n_bytes, len(raw), len(entries)), *[struct.pack("<I", n) + d for n, d in entries], raw])
+HEAD = struct.Struct("<4sQQI")
+
+
+def form_of(raw: bytes, n_bytes: int, parts: list[tuple[bytes, bytes, bool]]) -> bytes:
+    """The stored form: magic, lengths, the list of chunks (digest, bytes, whether shared), the own ones' bytes in order."""
+    return b"".join([HEAD.pack(MAGIC, n_bytes, len(raw), len(parts)), *[ENTRY.pack(len(p), s, d) for d, p, s in parts], *[p for _, p, s in parts if not s]])
+
+
+def read_form(form: bytes) -> tuple[int, int, list[tuple[int, bool, bytes]], int]:
+    """Unpadded and padded length of the payload, its chunks (length, whether shared, digest), and where own bytes start."""
+    magic, n_bytes, length, n = HEAD.unpack_from(form)
+    if magic != MAGIC:
+        raise ValueError("not a stored payload")
+    to = HEAD.size + n * ENTRY.size
+    return n_bytes, length, list(ENTRY.iter_unpack(form[HEAD.size : to])), to
 
 
 def _shared_bitmap(docs: DataFrame) -> np.ndarray:
@@ -117,8 +126,8 @@ def _shared_bitmap(docs: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_sha256", pa.string()), ("n_shared", pa.int32()), ("chunks", pa.binary()), ("own", pa.binary())])
-_MEDIA_DDL = "doc_id bigint, n_bytes bigint, payload_sha256 string, n_shared int, chunks binary, own binary"
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("payload_sha256", pa.string()), ("shared", pa.list_(pa.binary())), ("form", pa.binary())])
+_MEDIA_DDL = "doc_id bigint, payload_sha256 string, shared array<binary>, form binary"
 
 
 def store(docs: DataFrame, path: str) -> None:
@@ -139,7 +148,7 @@ def store(docs: DataFrame, path: str) -> None:
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw, n = payload(t)
                 parts = [(d, p, bool(bits[_bit(d) >> 3] >> (_bit(d) & 7) & 1)) for d, p in chunks(raw)]
-                row = (doc_id, n, hashlib.sha256(raw).hexdigest(), sum(s for _, _, s in parts), b"".join(_entry(len(p), s, d) for d, p, s in parts), b"".join(p for _, p, s in parts if not s))
+                row = (doc_id, hashlib.sha256(raw).hexdigest(), list(dict.fromkeys(d for d, _, s in parts if s)), form_of(raw, n, parts))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _MEDIA.types, strict=True)], schema=_MEDIA)
@@ -154,22 +163,17 @@ def store(docs: DataFrame, path: str) -> None:
     rows.select("text").mapInArrow(shared, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes")).write.option("compression", "zstd").parquet(f"{path}/shared")
 
 
-def _entries(raw: bytes) -> list[tuple[int, bool, bytes]]:
-    return list(ENTRY.iter_unpack(raw))
-
-
-def _assembled(n_bytes: int, sha256: str, entries: list[tuple[int, bool, bytes]], own: bytes, shared: dict[bytes, bytes]) -> bytes:
-    out, at = [], 0
+def _assembled(form: bytes, sha256: str, shared: dict[bytes, bytes]) -> tuple[int, bytes]:
+    """The unpadded length and the payload."""
+    n_bytes, length, entries, at = read_form(form)
+    out = []
     for n, is_shared, digest in entries:
-        if is_shared:
-            out.append(shared[digest])
-        else:
-            out.append(own[at : at + n])
-            at += n
+        out.append(shared[digest] if is_shared else form[at : at + n])
+        at += 0 if is_shared else n
     raw = b"".join(out)
-    if hashlib.sha256(raw).hexdigest() != sha256:
+    if len(raw) != length or hashlib.sha256(raw).hexdigest() != sha256:
         raise ValueError("a payload read back isn't the one stored")
-    return raw
+    return n_bytes, raw
 
 
 def features(raw: bytes) -> str:
@@ -180,78 +184,74 @@ def features(raw: bytes) -> str:
     return f"{bits:016x}:{x.mean():.6f}:{x.std():.6f}"
 
 
-_READ = pa.schema([("payload_sha256", pa.string()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_READ_DDL = "payload_sha256 string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_READ = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_READ_DDL = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _measures(n_bytes: int, raw: bytes, entries: list[tuple[int, bool, bytes]]) -> tuple:
-    form = container(raw, n_bytes, [(n, d) for n, _, d in entries])
-    return hashlib.sha256(raw).hexdigest(), len(raw), zlib.crc32(raw[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(raw)
+def _measures(form: bytes, sha256: str, shared: dict[bytes, bytes]) -> tuple:
+    n_bytes, raw = _assembled(form, sha256, shared)
+    return n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(raw)
 
 
 def _with_shared(spark: SparkSession, path: str) -> DataFrame:
-    """n_bytes, payload_sha256, chunks, own, parts of each different payload that has shared chunks.
+    """payload_sha256, form, parts of each different payload that has shared chunks.
 
-    parts: (digest, bytes) of its shared chunks, joined by their digests.
+    parts: (digest, bytes) of its shared chunks, joined by their digests. Copies of a payload are taken together before
+    anything is shuffled. A digest or payload that many rows have is a join key: Spark's adaptive joins split its rows.
     """
-    media = spark.read.parquet(f"{path}/media").where("n_shared > 0")
-    different = media.groupBy("payload_sha256").agg(F.first("n_bytes").alias("n_bytes"), F.first("chunks").alias("chunks"), F.first("own").alias("own"))
-
-    @F.udf("array<binary>")
-    def digests(raw: bytes) -> list[bytes]:
-        return list({d for _, s, d in _entries(bytes(raw)) if s})
-
-    # Chunk lists are small and read anew by column; own bytes meet the shared ones in one join by payload.
-    lists = media.select("payload_sha256", "chunks").groupBy("payload_sha256").agg(F.first("chunks").alias("chunks"))
-    wanted = lists.select("payload_sha256", F.explode(digests("chunks")).alias("digest"))
+    media = spark.read.parquet(f"{path}/media").where(F.size("shared") > 0)
+    different = media.groupBy("payload_sha256").agg(F.first("form").alias("form"))
+    lists = media.groupBy("payload_sha256").agg(F.first("shared").alias("shared"))  # narrow: forms aren't read here
+    wanted = lists.select("payload_sha256", F.explode("shared").alias("digest"))
     parts = wanted.join(spark.read.parquet(f"{path}/shared"), "digest").groupBy("payload_sha256").agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
     return different.join(parts, "payload_sha256")
 
 
+def _each(rows: DataFrame, f: Callable[[bytes, str, dict[bytes, bytes]], tuple], schema: pa.Schema, ddl: str, *carried: str) -> DataFrame:
+    """Carried columns and f(form, payload_sha256, shared chunks) of every row; rows without a column parts have none."""
+    whole = pa.schema([*[(c, pa.int64()) for c in carried], *schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in whole]
+            parts = batch.column("parts").to_pylist() if "parts" in batch.schema.names else [[]] * batch.num_rows
+            for sha, form, own, *kept in zip(batch.column("payload_sha256").to_pylist(), batch.column("form").to_pylist(), parts, *[batch.column(c).to_pylist() for c in carried], strict=True):
+                for column, x in zip(out, (*kept, *f(form, sha, {p["digest"]: p["bytes"] for p in own})), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, whole.types, strict=True)], schema=whole)
+
+    return rows.mapInArrow(run, ", ".join([*[f"{c} bigint" for c in carried], ddl]))
+
+
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """payload_sha256, payload (unpadded) of each different payload, put together and verified."""
 
-    @F.udf("binary")
-    def assembled(n_bytes: int, sha: str, raw: bytes, own: bytes, parts) -> bytes:
-        return _assembled(n_bytes, sha, _entries(bytes(raw)), bytes(own), {bytes(d): bytes(p) for d, p in parts or []})[:n_bytes]
+    def whole(form: bytes, sha256: str, shared: dict[bytes, bytes]) -> tuple[str, bytes]:
+        n, raw = _assembled(form, sha256, shared)
+        return sha256, raw[:n]
 
-    alone = spark.read.parquet(f"{path}/media").where("n_shared = 0").select("n_bytes", "payload_sha256", "chunks", "own", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("parts"))
-    both = alone.unionByName(_with_shared(spark, path).select(alone.columns))
-    return both.select("payload_sha256", assembled("n_bytes", "payload_sha256", "chunks", "own", "parts").alias("payload"))
+    small_batches(spark)
+    schema, ddl = pa.schema([("payload_sha256", pa.string()), ("payload", pa.binary())]), "payload_sha256 string, payload binary"
+    alone = spark.read.parquet(f"{path}/media").where(F.size("shared") == 0).select("payload_sha256", "form")
+    return _each(alone, whole, schema, ddl).unionByName(_each(_with_shared(spark, path), whole, schema, ddl))
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_bytes and measures of every row's payload, all from the stored bytes."""
+    """doc_id and measures of every row's payload and stored form, all from the stored bytes."""
     small_batches(spark)
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *_READ])
-        for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc_id, n, sha, raw, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "payload_sha256", "chunks", "own")), strict=True):
-                entries = _entries(raw)
-                for column, x in zip(out, (doc_id, n, *_measures(n, _assembled(n, sha, entries, own, {}), entries)), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in _READ]
-            for n, sha, raw, own, parts in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "payload_sha256", "chunks", "own", "parts")), strict=True):
-                entries = _entries(raw)
-                got = _assembled(n, sha, entries, own, {p["digest"]: p["bytes"] for p in parts})
-                for column, x in zip(out, _measures(n, got, entries), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _READ.types, strict=True)], schema=_READ)
-
     media = spark.read.parquet(f"{path}/media")
-    single = media.where("n_shared = 0").select("doc_id", "n_bytes", "payload_sha256", "chunks", "own").mapInArrow(alone, f"doc_id bigint, n_bytes bigint, {_READ_DDL}")
-    measured = _with_shared(spark, path).mapInArrow(together, _READ_DDL)
-    several = media.where("n_shared > 0").select("doc_id", "n_bytes", "payload_sha256").join(measured, "payload_sha256")
+    single = _each(media.where(F.size("shared") == 0).select("doc_id", "payload_sha256", "form"), _measures, _READ, _READ_DDL, "doc_id")
+    measured = _each(_with_shared(spark, path), _measures, _READ, _READ_DDL)
+    several = media.where(F.size("shared") > 0).select("doc_id", "payload_sha256").join(measured, "payload_sha256")
     return single.unionByName(several)
 
 
 def stored_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and the measures of read_back() for every row of docs, stored at path or in the shared folder.
+
+    Null texts are empty ones: a tile of padding. Repeated rows come out as often; equal texts have equal measures. A null
+    doc_id stays null. An empty table gives no rows. Other columns of docs don't matter.
+    """
     path = path or new_path(docs.sparkSession, "media")
     store(docs, path)
     return read_back(docs.sparkSession, path)
