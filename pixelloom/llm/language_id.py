@@ -4,8 +4,10 @@ The pieces of a fixed public vocabulary have a probability in each language. A w
 its segmentations into pieces, found by the forward algorithm; a text's is the product over its words. Probabilities
 are estimated by expectation maximisation (forward and backward sums) from word counts of labelled documents.
 
-Words are runs of letters in lower case with the vocabulary's mark of a word's start; longer ones are cut into blocks.
-Many words go through the algorithm at once, as arrays; each worker keeps the scores of the words it has seen.
+Words are runs of letters in lower case with the vocabulary's mark of a word's start. Scores are over whole words of any
+length: the algorithm keeps only the sums that the longest piece can reach back to, and scales them as it goes. Only for
+the estimate are words of over BLOCK letters cut. Many words go through the algorithm at once, as arrays; each worker
+keeps the scores of the words it has seen.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from .tokens import vocabulary_path
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Letters of a word, or of a block of a longer one; and of the longest piece used.
-BLOCK, LONGEST = 31, 10
-#: Documents of each language for the estimate, about; languages at most, the most frequent ones.
-SAMPLE, LANGUAGES = 800, 256
+#: Letters of a word, or of a block of a longer one, in the estimate.
+BLOCK = 31
+#: Documents of each language for the estimate, about.
+SAMPLE = 800
+#: A table with more languages is an error: the model that workers get grows with them.
+LANGUAGES = 2048
 STEPS = 3
-#: Scores (words times languages) that a worker keeps, then it starts anew; and those worked out at once.
-KEPT, AT_ONCE = 2_400_000, 40_000
+#: Scores (words times languages) that a worker keeps, then it starts anew; those worked out at once, and letters.
+KEPT, AT_ONCE, LETTERS = 2_400_000, 40_000, 400_000
+#: Letters between which sums are scaled; a letter no piece covers lessens them most.
+SCALED = 8
 #: The probability of a letter that no piece covers.
 UNKNOWN = 1e-9
 
@@ -50,7 +56,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(vocabulary))
         own = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-        self.names = sorted({p for p in own if 0 < len(p) <= LONGEST and p == p.lower() and re.fullmatch(f"{MARK}?[^\\W\\d_]*", p)})
+        self.names = sorted({p for p in own if p and p == p.lower() and re.fullmatch(f"{MARK}?[^\\W\\d_]*", p)})
+        self.longest = max(map(len, self.names))
         hashes = np.array([self._hash(p) for p in self.names], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int32)
@@ -65,25 +72,65 @@ class Pieces:
                 h = h * self.BASE + np.uint64(ord(c) + 1)
         return h
 
-    def found(self, blocks: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Lengths of blocks, and for each piece length l an array (block, start) of piece ids; -1: no piece.
+    @staticmethod
+    def letters(blocks: list[str], most: int) -> np.ndarray:
+        """Code points plus 1, (block, place); 1 beyond a block's end."""
+        flat = np.frombuffer("".join(b.ljust(most, "\0") for b in blocks).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(blocks), most)
+        return flat.astype(np.uint64) + np.uint64(1)
+
+    def at_starts(self, codes: np.ndarray, lengths: np.ndarray, starts: int) -> Iterator[np.ndarray]:
+        """For each piece length from 1, (block, start) of piece ids for the first starts; -1: no piece.
 
-        A single letter that is no piece has the id `unknown`.
+        A single letter that is no piece has the id `unknown`. codes reach as far beyond the starts as pieces do, or to
+        the end; lengths count from the first of codes.
         """
-        lengths = np.array([len(b) for b in blocks], dtype=np.int64)
-        most = int(lengths.max(initial=1))
-        flat = np.frombuffer("".join(b.ljust(most, "\0") for b in blocks).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(blocks), most)
-        codes = flat.astype(np.uint64) + np.uint64(1)
-        out, h = [], np.zeros_like(codes)
+        h = np.zeros_like(codes)
         with np.errstate(over="ignore"):
-            for length in range(1, min(LONGEST, most) + 1):
-                h = h[:, : most - length + 1] * self.BASE + codes[:, length - 1 :]
-                at = np.searchsorted(self.hashes, h)
+            for length in range(1, min(self.longest, codes.shape[1]) + 1):
+                width = min(starts, codes.shape[1] - length + 1)
+                h = h[:, : codes.shape[1] - length + 1] * self.BASE + codes[:, length - 1 :]
+                own = h[:, :width]
+                at = np.searchsorted(self.hashes, own)
                 at[at == len(self.hashes)] = 0
-                ids = np.where(self.hashes[at] == h, self.ids[at], self.unknown if length == 1 else -1)
-                ids[np.arange(ids.shape[1])[None, :] + length > lengths[:, None]] = -1
-                out.append(ids)
-        return lengths, out
+                ids = np.where(self.hashes[at] == own, self.ids[at], self.unknown if length == 1 else -1)
+                ids[np.arange(width)[None, :] + length > lengths[:, None]] = -1
+                yield ids
+
+    def found(self, blocks: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Lengths of blocks, and the piece ids at all starts by piece length."""
+        lengths = np.array([len(b) for b in blocks], dtype=np.int64)
+        most = int(lengths.max(initial=1))
+        return lengths, list(self.at_starts(self.letters(blocks, most), lengths, most))
+
+
+def log_sums(pieces: Pieces, words: list[str], p: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of whole words: (word, language)."""
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    most, reach = int(lengths.max(initial=1)), pieces.longest + 1
+    codes = pieces.letters(words, most)
+    shape = (len(words), p.shape[1])
+    ring, scale, out = np.zeros((reach, *shape)), np.zeros(shape), np.zeros(shape)
+    ring[0] = 1.0
+    for base in range(0, most, columns):
+        starts = min(columns, most - base)
+        found = list(pieces.at_starts(codes[:, base : base + starts + reach - 2], lengths - base, starts))
+        for k in range(starts):
+            i = base + k
+            now = ring[i % reach].copy()
+            ring[i % reach] = 0.0
+            for length, ids in enumerate(found, 1):
+                if k >= ids.shape[1]:
+                    break
+                if len(own := np.flatnonzero(ids[:, k] >= 0)):
+                    ring[(i + length) % reach, own] += now[own] * p[ids[own, k]]
+            ended = np.flatnonzero(lengths == i + 1)
+            out[ended] = np.log(np.maximum(ring[(i + 1) % reach, ended], 1e-300)) + scale[ended]
+            if i % SCALED == SCALED - 1:
+                high = ring.max(axis=0)
+                high[high == 0] = 1.0
+                ring /= high
+                scale += np.log(high)
+    return out
 
 
 def forward(lengths: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> np.ndarray:
@@ -92,9 +139,10 @@ def forward(lengths: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> np.n
     f = np.zeros((n, most + 1, languages))
     f[:, 0] = 1.0
     for j in range(1, most + 1):
-        for length in range(1, min(LONGEST, j) + 1):
+        for length in range(1, min(len(found), j) + 1):
             ids = found[length - 1][:, j - length]
-            f[:, j] += f[:, j - length] * p[ids]
+            own = np.flatnonzero(ids >= 0)
+            f[own, j] += f[own, j - length] * p[ids[own]]
     return f
 
 
@@ -103,9 +151,10 @@ def backward(lengths: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> np.
     b = np.zeros((n, most + 1, languages))
     b[np.arange(n), lengths] = 1.0
     for j in range(most - 1, -1, -1):
-        for length in range(1, min(LONGEST, most - j) + 1):
+        for length in range(1, min(len(found), most - j) + 1):
             ids = found[length - 1][:, j]
-            b[:, j] += b[:, j + length] * p[ids]
+            own = np.flatnonzero(ids >= 0)
+            b[own, j] += b[own, j + length] * p[ids[own]]
     return b
 
 
@@ -184,12 +233,13 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         words = sorted(words, key=len)
         new = np.zeros((len(words), len(self.model.languages)))
-        step = max(1, AT_ONCE // len(self.model.languages))
-        for at in range(0, len(words), step):
-            some = [(i, b) for i in range(at, min(at + step, len(words))) for b in blocks_of(words[i])]
-            lengths, found = self.pieces.found([b for _, b in some])
-            f = forward(lengths, found, self.model.probabilities)[np.arange(len(some)), lengths]
-            np.add.at(new, [i for i, _ in some], np.log(np.maximum(f, 1e-300)))
+        step, at = max(1, AT_ONCE // len(self.model.languages)), 0
+        while at < len(words):
+            to = min(at + step, len(words))
+            while to > at + 1 and (to - at) * len(words[to - 1]) > LETTERS:
+                to = (at + to) // 2
+            new[at:to] = log_sums(self.pieces, [MARK + w for w in words[at:to]], self.model.probabilities)
+            at = to
         base = len(self.scores)
         self.at.update((w, base + i) for i, w in enumerate(words))
         self.scores = np.concatenate([self.scores, new.astype(np.float32)])
@@ -217,12 +267,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = "piece_bpe_32
     """A model from the text and language of rows with a language that aren't held out.
 
     About `sample` documents of each language, drawn by a hash of doc_id and text, give the word counts; how many
-    documents a language has comes from all of them. The LANGUAGES most frequent ones are learned, ties by name.
+    documents a language has comes from all of them. All languages are learned; more than LANGUAGES are an error.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("lang IS NOT NULL")
     if held_out is not None:
         rows = rows.where(~held_out)
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"the table has more than {LANGUAGES} languages")
     prior = {r["lang"]: r["count"] for r in counted}
     if not prior:
         return Model(vocabulary, ["und"], np.zeros((2, 1)), np.zeros(1))
