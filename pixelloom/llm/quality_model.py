@@ -1,7 +1,8 @@
 """A quality classifier on random-indexing word vectors.
 
-Each word has a sparse random index vector, drawn from a hash of it. A word's vector is the sum of the index vectors
-of its neighbours over a bounded sample of texts, normalised. A document's words are pooled to the mean and the
+Each word has a sparse random index vector, which follows from a hash of it. A word's vector is the sum of the index
+vectors of its neighbours over a bounded sample of texts, normalised, and its own; a word that the sample doesn't have
+gets the company of words of its shape that the sample has once. A document's words are pooled to the mean and the
 deviation of their vectors and the length of the mean; a network of two layers, in numpy, gives a logit, and a
 temperature found on rows that it isn't trained on makes it a probability.
 """
@@ -9,12 +10,12 @@ temperature found on rows that it isn't trained on makes it a probability.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,45 +23,51 @@ from .common import id_crc32, pick, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 DIMENSIONS, NONZERO, WINDOW = 48, 6, 2
-#: Texts for word vectors, labelled rows for the network, and words with a vector of their own, each at most about.
-VECTOR_TEXTS, LABELLED, VOCABULARY = 2500, 12_000, 30_000
+#: Texts for word vectors and their bytes, and labelled rows for the network, each at most about.
+VECTOR_TEXTS, VECTOR_BYTES, LABELLED = 2500, 1 << 24, 12_000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 128, 0.01
 PREDICTED_FROM = 0.7
 
-#: Words that share a vector: those without one of their own, by shape.
-RARE, RARE_UPPER, RARE_SIGNS, DIGITS = "\0rare", "\0upper", "\0signs", "\0digits"
-SHAPES = (RARE, RARE_UPPER, RARE_SIGNS, DIGITS)
+#: Shapes of words: for those that the sample doesn't have.
+SHAPES = RARE, UPPER, SIGNS, DIGITS = range(4)
 
 
-def shape(word: str) -> str:
+def shape(word: str) -> int:
     if word[0].isdigit():
         return DIGITS
     if not word[0].isalpha():
-        return RARE_SIGNS
-    return RARE_UPPER if len(word) > 1 and word.isupper() else RARE
+        return SIGNS
+    return UPPER if len(word) > 1 and word.isupper() else RARE
 
 
 def index_vectors(words: list[str]) -> np.ndarray:
+    """NONZERO places of each vector are 1 or -1, by the bytes of the word's hash; a place that comes twice adds up."""
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
     out = np.zeros((len(words), DIMENSIONS), dtype=np.float32)
-    for i, w in enumerate(words):
-        draw = np.random.default_rng(zlib.crc32(w.encode("utf-8", "surrogatepass")))
-        out[i, draw.choice(DIMENSIONS, NONZERO, replace=False)] = draw.choice([-1.0, 1.0], NONZERO)
+    every = np.arange(len(words))
+    for k in range(NONZERO):
+        part = (hashes >> np.uint64(10 * k)) & np.uint64(1023)
+        out[every, (part >> np.uint64(1)) % np.uint64(DIMENSIONS)] += 1.0 - 2.0 * (part & np.uint64(1))
     return out
 
 
-def word_vectors(texts: list[str], vocabulary: int = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """Words, the most frequent ones and the shapes, and their vectors."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def word_vectors(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of the texts, their vectors, and the company of words of each shape that the texts have once."""
     cut = [TOKEN.findall(t or "") for t in texts]
     counts: dict[str, int] = {}
     for ws in cut:
         for w in ws:
             counts[w] = counts.get(w, 0) + 1
-    words = [*SHAPES, *sorted(sorted(counts), key=lambda w: -counts[w])[:vocabulary]]
+    words = sorted(counts)
     at = {w: i for i, w in enumerate(words)}
     own = index_vectors(words)
     context = np.zeros_like(own)
     for ws in cut:
-        ids = np.array([at[w] if w in at else at[shape(w)] for w in ws], dtype=np.int64)
+        ids = np.array([at[w] for w in ws], dtype=np.int64)
         if len(ids) < 2:
             continue
         padded = np.concatenate([np.zeros((WINDOW, DIMENSIONS), np.float32), own[ids], np.zeros((WINDOW, DIMENSIONS), np.float32)])
@@ -68,29 +75,40 @@ def word_vectors(texts: list[str], vocabulary: int = VOCABULARY) -> tuple[list[s
         order = np.argsort(ids, kind="stable")
         heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
         context[ids[order][heads]] += np.add.reduceat(near[order], heads, axis=0)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    company = np.zeros((len(SHAPES), DIMENSIONS), dtype=np.float32)
+    once = [i for i, w in enumerate(words) if counts[w] == 1]
+    np.add.at(company, [shape(words[i]) for i in once], context[once])
     # A word is its company and, by less, itself; words of one kind of text end up near each other.
-    return words, (unit(context) + 0.5 * unit(own)).astype(np.float32)
+    return words, (_unit(context) + 0.5 * _unit(own)).astype(np.float32), _unit(company).astype(np.float32)
 
 
 @dataclass
 class Vectors:
     words: list[str]
     vectors: np.ndarray
+    company: np.ndarray
 
     def __post_init__(self) -> None:
         self.at = {w: i for i, w in enumerate(self.words)}
 
+    def of_others(self, words: list[str]) -> np.ndarray:
+        return self.company[[shape(w) for w in words]] + 0.5 * _unit(index_vectors(words))
+
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean, deviation, length of the mean, and the logarithm of the number of words; all 0 without a word."""
         words = TOKEN.findall(text) if text else []
         if not words:
             return np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
-        get = self.at.get
-        ids = np.fromiter((i if (i := get(w)) is not None else SHAPES.index(shape(w)) for w in words), np.int64, len(words))
+        at, others = self.at, {}
+        base = len(self.words)
+        ids = np.fromiter((i if (i := at.get(w)) is not None else base + others.setdefault(w, len(others)) for w in words), np.int64, len(words))
         n = np.bincount(ids)
         which = np.flatnonzero(n)
-        x, weight = self.vectors[which], (n[which] / len(ids)).astype(np.float32)
+        known = which[which < base]
+        x = self.vectors[known]
+        if others:
+            x = np.concatenate([x, self.of_others(list(others))])
+        weight = (n[which] / len(ids)).astype(np.float32)
         mean = weight @ x
         deviation = np.sqrt(np.maximum(weight @ (x * x) - mean * mean, 0))
         return np.concatenate([mean, deviation, [np.linalg.norm(mean), np.log1p(len(ids)) / 10]]).astype(np.float32)
@@ -166,8 +184,9 @@ def _pooled_rows(rows: DataFrame, sent) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, held_out=None, labelled: int = LABELLED, texts: int = VECTOR_TEXTS) -> Model:
     """A model from labels (doc_id, quality 0 or 1) of documents that aren't held out.
 
-    At most about `labelled` labels and `texts` texts of those, drawn by a hash of doc_id; so what comes to the driver
-    and what is broadcast is bounded. Ids with both labels, null ids and null labels are left out.
+    About `labelled` rows at most, and `texts` texts of VECTOR_BYTES together of those, drawn by hashes of doc_id and
+    text; so what comes to the driver and what is broadcast is bounded. Ids with both labels, null ids and null labels
+    are left out; of ids that documents repeat, all rows may be drawn.
     With labels of one kind only, or none, every score is their mean (none: 0.5).
     """
     spark = docs.sparkSession
@@ -180,9 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, labelled: int = LAB
     draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))
     drawn = own.where(draw < F.lit(int(1_000_000 * min(1.0, labelled / max(n, 1)))))
     # Bounded by `labelled`: ids and labels of the sample are broadcast, so that no text is shuffled.
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(drawn.withColumnRenamed("doc_id", "d")), F.col("doc_id") == F.col("d")).withColumn("draw", draw)
-    part = int(1_000_000 * min(1.0, texts / max(n, 1)))
-    sample = sorted(r["text"] for r in rows.where((F.col("draw") < part) & F.col("text").isNotNull()).select("text").toLocalIterator())
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(drawn.withColumnRenamed("doc_id", "d")), F.col("doc_id") == F.col("d"))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    again = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text", F.spark_partition_id()), F.lit(1_000_000))
+    rows = rows.where(again < F.lit(int(1_000_000 * min(1.0, labelled / max(found["n"], 1)))))
+    part = int(1_000_000 * min(1.0, texts / max(found["n"], 1), VECTOR_BYTES / max(found["bytes"], 1)))
+    sample = sorted(r["text"] for r in rows.where((again < part) & F.col("text").isNotNull()).select("text").toLocalIterator())
     vectors = Vectors(*word_vectors(sample))
     sent = spark.sparkContext.broadcast(vectors)
     got = _pooled_rows(rows, sent).toArrow()
@@ -201,7 +223,7 @@ def score(docs: DataFrame, model: Model, predicted_from: float = PREDICTED_FROM)
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # VOCABULARY x DIMENSIONS numbers and a small network
+    sent = spark.sparkContext.broadcast(model)  # the sample's words x DIMENSIONS numbers and a small network
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
