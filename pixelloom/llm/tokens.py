@@ -8,14 +8,17 @@ tokenizer, many at once. Texts for which this doesn't hold (white space beyond A
 from __future__ import annotations
 
 import re
+from itertools import chain, compress
 
 import numpy as np
 
 #: White space that only Unicode has: here a text isn't cut.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 UNIT = re.compile(rb"\s*[^\s]+|\s+")
-#: White space that isn't one single space between two words.
-RUN = re.compile(rb"\s\s|[\t\n\r\x0b\x0c] |\A\s|\s\Z")
+#: Text whose units aren't all one space or line feed and a word.
+MIXED = re.compile(rb"\s\s|[\0\t\r\x0b\x0c]")
+#: A unit that can be joined with others by a line feed.
+PLAIN = re.compile(rb" [^\s]+")
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -51,17 +54,26 @@ class Encoder:
     def units(self, raw: bytes) -> list[bytes]:
         if not self.keeps_space:
             return raw.split()
-        return UNIT.findall(raw)
+        if MIXED.search(raw):
+            return UNIT.findall(raw)
+        cut = raw.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
+        return cut if cut[0] else cut[1:]
 
     def learn(self, units: list[bytes]) -> None:
         """Encode new units: many joined by a mark that none of them holds."""
         if len(self.seen) + len(units) > self.MOST:
             self.seen.clear()
-        plain, odd, glue = [], [], b" " + self.mark + b" "
-        for u in units:
-            # A marked unit starts with a space and a visible character; so white space before it is the mark alone.
-            fits = self.mark not in u and (not self.keeps_space or (u[:1] == b" " and not u[1:2].isspace() and not u[-1:].isspace())) and not any(s in u.lower() for s in self.special)
-            (plain if fits else odd).append(u)
+        glue = b" " + self.mark + b" "
+        every = b" ".join(units).lower()
+        special = [s for s in self.special if s in every]
+        if self.keeps_space:
+            # A plain unit starts with a space and a visible character; so white space before it is the mark alone.
+            fits = [PLAIN.fullmatch(u) is not None for u in units]
+        else:
+            fits = [self.mark not in u for u in units] if self.mark in every else [True] * len(units)
+        if special:
+            fits = [f and not any(s in u.lower() for s in special) for f, u in zip(fits, units, strict=True)]
+        plain, odd = list(compress(units, fits)), [u for u, f in zip(units, fits, strict=True) if not f]
         if self.keeps_space:
             glue = self.mark
         groups = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
@@ -91,7 +103,7 @@ class Encoder:
             t = t or ""
             cut.append(t if not t.isascii() and ODD_SPACE.search(t) or t.isascii() and re.search("[\x1c-\x1f]", t) else self.units(t.encode("utf-8", "surrogatepass")))
         seen = self.seen
-        new = {u for c in cut if type(c) is list for u in c if u not in seen}
+        new = set(chain.from_iterable(c for c in cut if type(c) is list)).difference(seen)
         if new:
             before = len(seen)
             self.learn(list(new))
