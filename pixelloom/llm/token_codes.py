@@ -174,15 +174,29 @@ def read_token_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:
-    """position, id: random access to the ids at the places that the column `position` names; null beyond the ends."""
-    spark = positions.sparkSession
-    own = segments(spark, path)
-    wanted = positions.select(F.col("position").cast("bigint"))
-    found = own.join(wanted, (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")))
+    """position, id: random access to the ids at the places that the column `position` names; null beyond the ends.
 
-    @F.udf("bigint")
-    def token(codes: bytes, i: int) -> int:
-        return Codes(bytes(codes)).token(i)
+    Segments are found by range keys: each stands under the multiples of SEGMENT that it covers. A segment's codes are
+    read once for all its places. Null places give null; repeated ones come out as often. Without rows there are none.
+    """
+    spark = positions.sparkSession
+    small_batches(spark)
+    own, wanted = segments(spark, path), positions.select(F.col("position").cast("bigint"))
+    covers = F.sequence(F.floor(F.col("start") / SEGMENT), F.floor((F.col("start") + F.col("n_tokens") - 1) / SEGMENT))
+    keyed = own.where("n_tokens > 0").select("part", "segment", "start", F.col("n_tokens").alias("n"), F.explode(covers).alias("key"))
+    asked = wanted.where("position >= 0").distinct().withColumn("key", F.floor(F.col("position") / SEGMENT))
+    met = asked.join(keyed, "key").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n")))
+    # Different places of one segment: no more than it has tokens.
+    grouped = met.groupBy("part", "segment").agg(F.first("start").alias("start"), F.collect_list("position").alias("positions"))
+    schema = pa.schema([("position", pa.int64()), ("id", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                start, places, raw = (batch.column(c)[i].as_py() for c in ("start", "positions", "codes"))
+                codes = Codes(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([codes.token(p - start) for p in places], pa.int64())], schema=schema)
 
-    got = found.select("position", token("codes", F.col("position") - F.col("start")).alias("id"))
-    return wanted.join(got.distinct(), "position", "left")
+    codes = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "codes")
+    got = grouped.join(codes, ["part", "segment"]).select("start", "positions", "codes").mapInArrow(read, "position bigint, id bigint")
+    return wanted.join(got, "position", "left")
