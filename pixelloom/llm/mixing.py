@@ -92,7 +92,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0,
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 11) -> DataFrame:
-    """The rows of documents that the mix takes, each as often as it takes them. Texts aren't shuffled."""
+    """The rows of documents that the mix takes, each as often as it takes them. Texts aren't shuffled.
+
+    Null, empty and blank texts are never taken. Null ids and sources are values like others; rows equal in id, source
+    and text are taken alike. An empty table gives no rows. Other columns of docs don't matter.
+    """
     rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     _, limits = _limits(rows, weights, most, seed)
     taken = rows.withColumn("h", _hash(seed)).join(limits, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("text").rlike(f"[^{SPACE}]")))

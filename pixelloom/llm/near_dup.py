@@ -28,6 +28,8 @@ from .common import DOCUMENT_TYPES, as_bytes, pick, saved, small_batches
 from .similar_links import similar_links
 
 BUCKET = 64
+#: Parts that the rows of one node, fingerprint or component are dealt to when they meet what is known of it.
+SALTS = 8
 #: What a row of a signature costs, in candidate pairs.
 SIGNATURE_COST = 3.0
 #: Shingles whose bits are counted at once.
@@ -56,7 +58,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *others: str) -> DataFrame:
-    """doc_id, other columns of documents, and fp of every row."""
+    """doc_id, other columns of documents, and fp of every row.
+
+    Null, empty and blank texts have the fingerprint 0. Null ids stay; repeated rows come out as often. An empty table
+    gives no rows. Columns of docs that aren't named don't matter.
+    """
     small_batches(docs.sparkSession)
     rows = pick(docs, *dict.fromkeys(["doc_id", *others, "text"]))
     carried = [c for c in rows.columns if c in ("doc_id", *others)]
@@ -207,11 +213,20 @@ def links(distinct: DataFrame, radius: int = 2, partitions: list[Partition] | No
 # ---- components
 
 
+def salted_join(rows: DataFrame, known: DataFrame, key: str, *spread: str) -> DataFrame:
+    """Rows beside what is known of their key: by key and salt, which follows from the columns spread.
+
+    So the rows of one key, be they most of all, go to SALTS tasks, each of which adaptive joins may split further.
+    """
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that an edge (a, b) names; root is the smallest node of its component.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, which cuts the lineage.
-    A node's edges meet only in min() and in a join with it, so a node with many edges doesn't gather in one task.
+    A node's edges meet in min(), which sums them up before they are shuffled, and in a salted join with it.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "components")
     before = None
@@ -222,9 +237,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = salted_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = salted_join(large, least, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionAll(least.select("a", F.col("m").alias("b")))
         edges = saved(small.distinct(), "components")
 
@@ -254,7 +269,7 @@ def _labels(docs: DataFrame, shingle: int, radius: int, seed: int, similarity: f
     # Fingerprints without a link are groups of their own; the others get the least doc_id of their component.
     linked = of.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = saved(linked.join(least, "root").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
+    named = saved(salted_join(linked, least, "root", "node").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
     return marked, distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
 
 
