@@ -23,28 +23,44 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with columns of the sums over all rows before each in the order, without a sort in one task.
+
+    Range partitions are sorted by themselves; what stands before a partition is a row of numbers for each.
+    """
+    placed = saved(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).withColumns({f"{k}_of": c for k, c in sums.items()}), "mix-running")
+    totals = placed.groupBy("part").agg(*[F.sum(f"{k}_of").alias(k) for k in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_base") for k in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as partitions, so they are broadcast.
+    met = placed.join(F.broadcast(bases), "part").withColumns({k: F.col(f"{k}_base") + F.coalesce(F.sum(f"{k}_of").over(own), F.lit(0)) for k in sums})
+    return met.select(*rows.columns, *sums)
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """source, source_size, target from source, source_size: a row for each source.
 
     Sources in the order of their code points, null last, weigh as weights say, repeating, and share all sizes; none
     gets over `most` times its own. What stands above is shared anew by weight: in the end target = min(most * size,
     level * weight) with one level for all, found from running sums over the sources by size / weight.
-    Both windows go over the sources, not over documents.
     """
-    ranked = sources.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int")))
+    by_name = F.col("source").asc_nulls_last()
+    ranked = running(sources, [by_name], rank=F.lit(1))
     cap = F.col("source_size") * F.lit(float(most))
-    order = Window.orderBy((cap / F.col("w")), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    held = (
-        ranked.withColumn("total", F.sum("source_size").over(every).cast("double"))
-        .withColumn("capped", F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("weight_left"))
-    )
+    priced = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("ratio", cap / F.col("w"))
+    held = saved(running(priced, [F.col("ratio").asc(), by_name], capped=cap, weight=F.col("w")), "mix-held")
+    total, weight = held.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("w")).first()
     # The level is that of the first source whose cap isn't below it.
-    fits = F.col("level") * F.col("w") <= cap
-    level = F.min(F.when(fits, F.struct((cap / F.col("w")).alias("ratio"), "level"))).over(every)["level"]
-    return held.withColumn("level", level).select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(cap, F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w"))).alias("target"))
+    level = (F.lit(float(total)) - F.col("capped")) / (F.lit(weight) - F.col("weight"))
+    found = held.where(level * F.col("w") <= cap).agg(F.min(F.struct("ratio", by_name_key(), level.alias("level"))).alias("least")).first()["least"]
+    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(cap, F.lit(found["level"] if found else 0.0) * F.col("w")))
+    return held.select("source", "source_size", target.alias("target"))
+
+
+def by_name_key() -> Column:
+    """What puts null sources last in a comparison of structs."""
+    return F.struct(F.col("source").isNull(), F.col("source")).alias("name")
 
 
 def _bucket(level: int) -> Column:

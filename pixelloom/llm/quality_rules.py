@@ -294,10 +294,8 @@ def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
     Null languages and sources are groups as well. Repeated rows are judged alike. An empty table gives no rows.
     Columns of docs beside documents' own don't matter.
     """
-    counted = statistics(docs, *others)
-    found = counted if "text" in others else saved(counted, "quality-statistics")
-    narrow = found if "text" not in others else saved(statistics(docs), "quality-statistics")
-    measured = narrow.where(~F.col("base_failed"))
+    found = saved(statistics(docs, *others), "quality-statistics")  # texts too if they are wanted: cheaper than to count them again
+    measured = found.where(~F.col("base_failed"))
     vectors = saved(measured.select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
     of = estimates(vectors)
     # Each pair of lang and source that there is, with its own numbers and those of its parents: three rows a pair.
