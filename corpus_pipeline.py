@@ -13,22 +13,27 @@ from pixelloom.llm.common import documents, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep: null, empty and short texts go, repeated rows alike. No rows of an empty table."""
     return quality_rules.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id; rows without one only where their group has none. Empty texts are a group."""
     return near_dup.one_of_each(docs, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with marks for personal data; null texts stay null, repeated rows stay."""
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those without a word never. A null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; null texts are the end id alone."""
     return packing.pack(docs)
 
 
