@@ -9,6 +9,9 @@ Large buckets are dealt to cells, and blocks of two cells meet: each cell of tex
 with each cell of the bucket. Before that their texts meet the bucket's most typical ones, which links most of a group
 that one text holds together; what is linked then no longer counts as outside. That only saves work, since what stays
 outside meets the whole bucket. A bucket of n texts with r outside has about 2nr / CELL rows of blocks.
+
+Whole sets are what is wide here, so they are sent as seldom as can be: blocks of the same texts, as the bands of a group
+make them, are one; and a part of the blocks goes first, since what that links leaves most others with one group only.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ NAMED = 4
 MARGIN = 0.21
 #: Parts that the rows of one key are dealt to when they meet what is known of the key.
 SALTS = 16
+#: One of so many blocks goes first.
+FIRST = 8
+#: Bits of the bitmap of texts that are in blocks: 8 MB, whatever the corpus.
+BITMAP = 1 << 26
 #: Columns of shingles that are multiplied at once.
 COLUMNS = 4096
 #: Rows of a text in blocks that meet one copy of its set.
@@ -171,7 +178,10 @@ def _flat(table: pa.Table) -> np.ndarray:
 
 
 def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
-    """The rows of blocks that have a text of another group at the other side with so large a share of equal minima."""
+    """The rows of blocks that have a text of another group at the other side with so large a share of equal minima.
+
+    same: a number of the texts left in the block and their sides. Of blocks with one number, one stays.
+    """
 
     def near(table: pa.Table) -> list[np.ndarray]:
         flat, grp, side = _flat(table), table.column("grp").to_numpy(), table.column("side").to_numpy()
@@ -181,10 +191,15 @@ def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
             close = other[(flat[other] == flat[i]).sum(axis=1) >= least * BANDS * ROWS]
             live[close] = True
             live[i] |= len(close) > 0
-        return [table.column(c).to_numpy()[live] for c in ("key", "p", "q", "side", "class", "grp")]
+        own = [table.column(c).to_numpy()[live] for c in ("key", "p", "q", "side", "class", "grp")]
+        order = np.lexsort((own[3], own[4]))
+        same = xxhash.xxh64_intdigest(own[4][order].tobytes() + own[3][order].astype(np.int32).tobytes()) >> 1
+        return [*own, np.full(int(live.sum()), same, dtype=np.int64)]
 
     wide = dealt.join(minima_of, "class").select("key", "p", "q", "side", "class", "grp", "minima")
-    return _by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint")
+    found = saved(_by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint, same bigint"), "similar-reach")
+    one = found.groupBy("same").agg(F.min(F.struct("key", "p", "q")).alias("one"))
+    return found.join(one, "same").where(F.struct("key", "p", "q") == F.col("one")).drop("same", "one")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -249,6 +264,37 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return _by_block(wide, ["key", "p", "q"], linked, "a bigint, b bigint").distinct()
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """class, set of the wanted classes. A bitmap of fixed size tells most other texts before any text is shuffled."""
+    place = F.col("class").bitwiseAND(F.lit(BITMAP - 1))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(class & 63 as int))")).alias("b"))
+    bits = np.zeros(BITMAP // 64, dtype="<i8")
+    for part in words.toArrow().to_batches():  # 2 ** 20 rows at most
+        bits[part.column("w").to_numpy()] = part.column("b").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(bits).astype("<i4").tobytes() + bits[bits != 0].tobytes())
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(sent.value) // 12
+        has = np.zeros(BITMAP // 64, dtype="<i8")
+        has[np.frombuffer(sent.value, "<i4", n)] = np.frombuffer(sent.value, "<i8", n, 4 * n)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            own = np.array([class_of(words_of(t)) for t in texts], dtype=np.int64)
+            at = own & (BITMAP - 1)
+            live = (has[at >> 6] >> (at & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(own[live]), batch.column("text").filter(pa.array(live))], names=["class", "text"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(words_of(t), shingle).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], names=["class", "set"])
+
+    small_batches(docs.sparkSession)
+    # Of copies one text goes on; they are told apart from others by the class, before the shuffle and after.
+    texts = pick(docs, "text").mapInArrow(classes, "class bigint, text string").groupBy("class").agg(F.first("text").alias("text"))
+    return texts.join(wanted, "class", "left_semi").mapInArrow(shingled, "class bigint, set array<bigint>")
+
+
 def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """a, b: fingerprints of groups that hold texts of so high a similarity. grouped: node, root of linked fingerprints.
 
@@ -265,21 +311,15 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
     several = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
     rows = saved(_meet(rows, several), "similar-rows")
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(words_of(t)) for t in texts], pa.int64()), batch.column("text")], names=["class", "text"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(words_of(t), shingle).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "set"])
-
     def links(dealt: DataFrame) -> DataFrame:
         met = saved(in_reach(dealt, minima_of, similarity - MARGIN), "similar-met")
-        texts = pick(docs, "text").mapInArrow(classes, "class bigint, text string").join(met.select("class").distinct(), "class", "left_semi")
-        sets = saved(texts.mapInArrow(sets_of, "class bigint, set array<bigint>").groupBy("class").agg(F.first("set").alias("set")), "similar-sets")
-        return saved(verified(met, sets, similarity), "similar-links")
+        sets = saved(sets_of(docs, met.select("class").distinct(), shingle), "similar-sets")
+        early = F.pmod(F.xxhash64("key", "p", "q"), F.lit(FIRST)) == 0
+        first = saved(verified(met.where(early), sets, similarity), "similar-links")
+        roots = components(first).withColumnRenamed("node", "grp")
+        rest = met.where(~early).join(roots, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root")
+        several = rest.groupBy("key", "p", "q").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key", "p", "q")
+        return first.unionAll(saved(verified(rest.join(several, ["key", "p", "q"]), sets, similarity), "similar-links"))
 
     large = rows.where(F.col("n") > MOST).withColumn("qs", _cells(F.col("n")))
     first = None
