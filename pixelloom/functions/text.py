@@ -11,13 +11,12 @@ def sha256_hex(v: Column) -> Column:
 
 
 def is_sha256_hex(v: Column) -> Column:
-    return F.coalesce(v.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(v.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
 
 
 def is_iso_date_shape(v: Column) -> Column:
-    """YYYY-MM-DD with month 1..12 and day 1..31, then nothing or T and more; 2024-02-31 has the shape."""
-    month, day = F.regexp_extract(v, r"^\d{4}-(\d{2})-(\d{2})(T.*)?$", 1), F.regexp_extract(v, r"^\d{4}-(\d{2})-(\d{2})(T.*)?$", 2)
-    return F.coalesce((month >= "01") & (month <= "12") & (day >= "01") & (day <= "31"), F.lit(False))
+    """YYYY-MM-DD with month 1..12 and day 1..31, then nothing, or T and at least one byte; 2024-02-31 has the shape."""
+    return F.coalesce(v.rlike(r"\A[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(T(?s:.+))?\z"), F.lit(False))
 
 
 def cache_key(input_hash: Column, manifest_hash: Column) -> Column:

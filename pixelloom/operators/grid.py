@@ -98,6 +98,16 @@ def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
+def bound(rows: DataFrame, **arrays: Column) -> DataFrame:
+    """rows with further columns, each worked out once a row.
+
+    The optimiser puts plain columns into the expressions over them, also into those for each pixel; it doesn't go
+    through the generator here.
+    """
+    made = rows.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in arrays.items()]))).alias("bound"))
+    return made.select(*[c for c in rows.columns if c not in arrays], *[F.col("bound")[k].alias(k) for k in arrays])
+
+
 def zipped(f: Callable[..., Column], *arrays: str) -> Column:
     """The array of f over the elements of several arrays of one length."""
     return F.transform(F.arrays_zip(*arrays), lambda s: f(*[s[name] for name in arrays]))

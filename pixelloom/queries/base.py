@@ -7,10 +7,11 @@ from collections.abc import Callable
 REGISTER: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
-PX = """px AS (SELECT vec_id AS image_id, label AS tag, idx, idx % 8 AS x, idx // 8 AS y, CASE WHEN mx = mn THEN 0.0 ELSE (v - mn) / (mx - mn) END AS a
+PX = """px AS MATERIALIZED (SELECT vec_id AS image_id, label AS tag, idx, idx % 8 AS x, idx // 8 AS y, CASE WHEN mx = mn THEN 0.0 ELSE (v - mn) / (mx - mn) END AS a
   FROM (SELECT vec_id, label, CAST(list_min(embedding) AS DOUBLE) AS mn, CAST(list_max(embedding) AS DOUBLE) AS mx, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(unnest(range(0, 64)) AS INTEGER) AS idx FROM embeddings)),
-n AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
-rgb AS (SELECT p.*, q.a AS g, s.a AS b, q.a AS t FROM px p, n JOIN px q ON q.image_id = (p.image_id + 1) % n.n AND q.idx = p.idx JOIN px s ON s.image_id = (p.image_id + 2) % n.n AND s.idx = p.idx)"""
+n AS MATERIALIZED (SELECT max(vec_id) + 1 AS n FROM embeddings),
+pn AS MATERIALIZED (SELECT px.*, (image_id + 1) % n.n AS n1, (image_id + 2) % n.n AS n2 FROM px, n),
+rgb AS MATERIALIZED (SELECT p.image_id, p.tag, p.idx, p.x, p.y, p.a, q.a AS g, s.a AS b, q.a AS t FROM pn p JOIN px q ON q.image_id = p.n1 AND q.idx = p.idx JOIN px s ON s.image_id = p.n2 AND s.idx = p.idx)"""
 
 
 def query(sql: str | None = None, planes: bool = False):

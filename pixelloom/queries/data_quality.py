@@ -55,16 +55,28 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").groupBy(_split().alias("split")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("tags"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false ELSE true END AS ok FROM documents")
+#: What is put after a hash or date: some of it spoils the shape.
+_TAILS = ("", "\n", "T", "T1", " ", "Tx\ny", "0")
+_TAIL_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN " + " || ".join([repr(p) for p in t.split(chr(10))] if chr(10) not in t else [f"{t.split(chr(10))[0]!r}", "chr(10)", f"{t.split(chr(10))[1]!r}"]) for k, t in enumerate(_TAILS)) + " END"
+
+
+def _tail():
+    return F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (F.col("doc_id") % 7 + 1).cast("int"))
+
+
+@query(f"WITH h AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(sha256(text)) ELSE sha256(text) END || {_TAIL_SQL} AS h FROM documents) SELECT doc_id, length(h) = 64 AND translate(h, '0123456789abcdef', '') = '' AS ok FROM h")
 def sha256_hex_check(spark: SparkSession, sf: str) -> DataFrame:
-    """A hash is 64 lower-case hex digits; every fifth is spoilt here."""
+    """A hash is 64 lower-case hex digits and nothing else; some are spoilt here."""
     docs = _table(spark, sf, "documents").select("doc_id", X.sha256_hex(F.col("text")).alias("h"))
-    return docs.select("doc_id", X.is_sha256_hex(F.when(F.col("doc_id") % 5 == 0, F.upper(F.concat(F.lit("x"), F.substring("h", 2, 63)))).otherwise(F.col("h"))).alias("ok"))
+    return docs.select("doc_id", X.is_sha256_hex(F.concat(F.when(F.col("doc_id") % 5 == 0, F.upper("h")).otherwise(F.col("h")), _tail())).alias("ok"))
 
 
-@query("SELECT doc_id, (doc_id % 14) BETWEEN 1 AND 12 AND (doc_id % 33) BETWEEN 1 AND 31 AS ok FROM documents")
+@query(
+    f"""WITH d AS (SELECT doc_id, printf('2024-%02d-%02d', doc_id % 14, doc_id % 33) || {_TAIL_SQL} AS d FROM documents)
+SELECT doc_id, length(d) >= 10 AND CAST(substr(d, 6, 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(substr(d, 9, 2) AS INTEGER) BETWEEN 1 AND 31 AND (length(d) = 10 OR (substr(d, 11, 1) = 'T' AND length(d) > 11)) AS ok FROM d"""
+)
 def iso_date_shape(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.format_string("2024-%02d-%02d", (F.col("doc_id") % 14).cast("int"), (F.col("doc_id") % 33).cast("int"))
+    made = F.concat(F.format_string("2024-%02d-%02d", (F.col("doc_id") % 14).cast("int"), (F.col("doc_id") % 33).cast("int")), _tail())
     return _table(spark, sf, "documents").select("doc_id", X.is_iso_date_shape(made).alias("ok"))
 
 

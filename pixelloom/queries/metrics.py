@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pixel import srgb_to_linear
 from ..operators import grid as G
 from .base import query
 
@@ -71,17 +72,25 @@ def baseline_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     return sets.withColumn("split", F.coalesce("split", F.lit("overall")))
 
 
+_DECODE = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END"
+
+
 @query(
-    """, w AS (SELECT *, greatest(a, t) AS w FROM rgb)
-SELECT image_id, round(CASE WHEN sum(CASE WHEN w > 0.02 THEN w ELSE 0 END) = 0 THEN 0 ELSE sum(CASE WHEN w > 0.02 THEN w * abs(b - g) ELSE 0 END) / sum(CASE WHEN w > 0.02 THEN w ELSE 0 END) END, 6) AS error FROM w GROUP BY image_id""",
+    f""", c AS MATERIALIZED (SELECT image_id, greatest(a, t) AS w, {_DECODE.format("a")} AS r, {_DECODE.format("g")} AS g, {_DECODE.format("b")} AS b FROM rgb)
+SELECT image_id, round(coalesce(sum(w * (abs(r - g) + abs(g - b) + abs(b - r)) / 3) FILTER (w > 0.02) / nullif(sum(w) FILTER (w > 0.02), 0), 0.0), 6) AS error FROM c GROUP BY image_id""",
     planes=True,
 )
 def foreground_colour_error(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.images(spark, sf)
+    """Mean difference over three channels in linear light, weighed by the larger alpha where that is above 0.02.
+
+    The colours are r, g, b, those of the reference g, b, r.
+    """
+    linear = lambda c: F.transform(c, lambda v: srgb_to_linear(v, bounded=False))
+    rows = G.bound(G.images(spark, sf), lr=linear("r"), lg=linear("g"), lb=linear("b"))
     w = lambda a, t: F.when(F.greatest(a, t) > 0.02, F.greatest(a, t)).otherwise(0.0)
-    weight = _sum(w, "a", "t")
-    error = _sum(lambda a, t, b, g: w(a, t) * F.abs(b - g), "a", "t", "b", "g")
-    return rows.select("image_id", error.alias("e"), weight.alias("w")).select("image_id", F.round(F.when(F.col("w") == 0, 0.0).otherwise(F.col("e") / F.when(F.col("w") != 0, F.col("w"))), 6).alias("error"))
+    error = _sum(lambda a, t, r, g, b: w(a, t) * (F.abs(r - g) + F.abs(g - b) + F.abs(b - r)) / 3, "a", "t", "lr", "lg", "lb")
+    sums = rows.select("image_id", error.alias("e"), _sum(w, "a", "t").alias("w"))
+    return sums.select("image_id", F.round(F.when(F.col("w") == 0, 0.0).otherwise(F.col("e") / F.when(F.col("w") != 0, F.col("w"))), 6).alias("error"))
 
 
 @query(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from ..functions.pixel import clamp, luminance
 from ..operators import grid as G
 from ..operators import morphology as M
 from .base import query
+from .kernels import labelled
 
 _BITS = ", m AS (SELECT image_id, idx, x, y, CASE WHEN floor(a * 255) > 127 THEN 1 ELSE 0 END AS v FROM px)"
 #: All pairs of a pixel and an offset, with what is there (NULL outside).
@@ -53,7 +58,7 @@ SELECT p.image_id, p.idx, max(q.v) AS v FROM e p CROSS JOIN o JOIN e q ON q.imag
 )
 def disk_opening(spark: SparkSession, sf: str) -> DataFrame:
     """Erosion, then dilation, by a disk of radius 1 with mirrored borders."""
-    e = _mask(spark, sf).withColumn("e", M.eroded(F.col("m"), M.disk(1), "reflect"))
+    e = G.bound(_mask(spark, sf), e=M.eroded(F.col("m"), M.disk(1), "reflect"))
     return G.by_pixel(e, v=M.dilated(F.col("e"), M.disk(1), "reflect"))
 
 
@@ -69,7 +74,7 @@ SELECT p.image_id, p.idx, round(sum(q.v * {_W.format(d="d")}), 6) AS v FROM h p
 def gaussian_blur(spark: SparkSession, sf: str) -> DataFrame:
     """Deviation 0.8, radius floor(4 * 0.8 + 0.5) = 3, mirrored borders."""
     across, taps = M.gaussian_blur(F.col("a"), 0.8)
-    return G.by_pixel(G.planes(spark, sf).withColumn("h", across), v=M.vertical(F.col("h"), taps)).withColumn("v", F.round("v", 6))
+    return G.by_pixel(G.bound(G.planes(spark, sf), h=across), v=M.vertical(F.col("h"), taps)).withColumn("v", F.round("v", 6))
 
 
 def _box(fold: str) -> str:
@@ -102,23 +107,25 @@ SELECT image_id, idx, CASE WHEN f = 1 AND k = 9 THEN 2 WHEN b = 1 THEN 0 ELSE 1
 def trimap_symmetric(spark: SparkSession, sf: str) -> DataFrame:
     """Foreground eroded with zeros beyond the border, background with ones; foreground wins."""
     u = G.planes(spark, sf).withColumn("c", F.transform("a", lambda v: F.floor(v * 255).cast("int")))
-    u = u.withColumn("f", F.transform("c", lambda c: (c > 150).cast("int"))).withColumn("b", F.transform("c", lambda c: (c < 100).cast("int")))
-    u = u.withColumn("f", M.eroded(F.col("f"), M.kernel(3), 0)).withColumn("b", M.eroded(F.col("b"), M.kernel(3), 1))
+    u = G.bound(u, f=F.transform("c", lambda c: (c > 150).cast("int")), b=F.transform("c", lambda c: (c < 100).cast("int")))
+    u = G.bound(u, f=M.eroded(F.col("f"), M.kernel(3), 0), b=M.eroded(F.col("b"), M.kernel(3), 1))
     return G.by_pixel(u, v=G.each(lambda i, x, y: M.symmetric_trimap(F.col("f"), F.col("b"), i)))
 
 
 @query(
-    """, u AS (SELECT image_id, idx, x, y, CAST(floor(a * 255) AS INTEGER) AS c FROM px),
-d AS (SELECT p.image_id, p.idx, p.x, p.y, p.c, max(CASE WHEN q.c > 200 THEN 1 ELSE 0 END) AS sure FROM u p JOIN u q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL),
-e AS (SELECT p.image_id, p.idx, p.c, min(q.sure) AS core, count(*) AS k, p.sure FROM d p JOIN d q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
-SELECT image_id, idx, CASE WHEN core = 1 AND k = 9 THEN 255 WHEN sure = 1 OR c > 0 THEN 127 ELSE 0 END AS v FROM e""",
+    """, u AS MATERIALIZED (SELECT image_id, idx, x, y, CAST(floor(a * 255 + 0.5) AS INTEGER) AS c FROM px),
+w AS (SELECT p.image_id, p.idx, p.c, max(CASE WHEN q.c > 200 THEN 1 ELSE 0 END) AS near, min(CASE WHEN q.c > 200 THEN 1 ELSE 0 END) AS core
+ FROM u p JOIN u q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL)
+SELECT image_id, idx, CASE WHEN c > 200 AND core = 1 THEN 255 WHEN c > 0 OR near = 1 THEN 127 ELSE 0 END AS v FROM w""",
     planes=True,
 )
 def trimap_probability(spark: SparkSession, sf: str) -> DataFrame:
-    """Above 200 is sure, dilated once; eroded once it stays sure (255); the rest of it and what isn't 0 is unknown (127)."""
-    u = G.planes(spark, sf).withColumn("c", F.transform("a", lambda v: F.floor(v * 255).cast("int")))
-    u = u.withColumn("s", F.transform("c", lambda c: (c > 200).cast("int"))).withColumn("d", M.dilated(F.col("s"), M.square(1), 0)).withColumn("e", M.eroded(F.col("d"), M.square(1), 0))
-    return G.by_pixel(u, v=G.each(lambda i, x, y: F.when(G.at(F.col("e"), i) == 1, 255).when((G.at(F.col("d"), i) == 1) | (G.at(F.col("c"), i) > 0), 127).otherwise(0)))
+    """Above 200 is foreground (255), as far as an erosion with ones beyond the border leaves it; unknown (127) are what
+    that takes away, what a dilation adds, and other probabilities above 0."""
+    u = G.planes(spark, sf).select("image_id", F.transform("a", lambda v: F.floor(v * 255 + 0.5).cast("int")).alias("c"))
+    u = G.bound(u, f=F.transform("c", lambda c: (c > 200).cast("int")))
+    u = G.bound(u, d=M.dilated(F.col("f"), M.square(1), 0), e=M.eroded(F.col("f"), M.square(1), 1))
+    return G.by_pixel(u, v=G.zipped(lambda c, f, d, e: F.when((f == 1) & (e == 1), 255).when((d == 1) | (c > 0), 127).otherwise(0), "c", "f", "d", "e"))
 
 
 @query(
@@ -132,32 +139,72 @@ def boundary_points(spark: SparkSession, sf: str) -> DataFrame:
     return G.by_pixel(mask, v=M.boundary(F.col("m")))
 
 
-@query(
-    """, g AS (SELECT p.image_id, p.idx, p.a, coalesce(r.a, p.a) - p.a AS dx, coalesce(d.a, p.a) - p.a AS dy FROM px p LEFT JOIN px r ON r.image_id = p.image_id AND r.y = p.y AND r.x = p.x + 1 LEFT JOIN px d ON d.image_id = p.image_id AND d.x = p.x AND d.y = p.y + 1)
-SELECT image_id, round(avg(4 * a * (1 - a)), 6) AS entropy, round(avg(sqrt(dx * dx + dy * dy)), 6) AS gradient, round(max(a) - min(a), 6) AS contrast,
- round(avg(greatest(0.0, least(1.0, 0.42 * 4 * a * (1 - a) + 0.2 * sqrt(dx * dx + dy * dy) + 0.18 * abs(a - 0.5)))), 6) AS uncertainty FROM g GROUP BY image_id""",
-    planes=True,
-)
+_UNSURE = """, lit AS MATERIALIZED (SELECT image_id, idx, x, y, a, g, b, t, 0.2126 * a + 0.7152 * g + 0.0722 * b AS l FROM rgb),
+step AS MATERIALIZED (SELECT p.image_id, p.idx, p.x, p.y, 4 * p.t * (1 - p.t) AS soft, least(1.0, abs(p.t - coalesce(r.t, p.t)) + abs(p.t - coalesce(d.t, p.t))) AS grad, least(1.0, abs(p.l - coalesce(r.l, p.l)) + abs(p.l - coalesce(d.l, p.l))) AS contrast, abs(p.t - p.b) AS other
+ FROM lit p LEFT JOIN lit r ON r.image_id = p.image_id AND r.y = p.y AND r.x = p.x + 1 LEFT JOIN lit d ON d.image_id = p.image_id AND d.x = p.x AND d.y = p.y + 1),
+unsure AS MATERIALIZED (SELECT *, greatest(0.0, least(1.0, 0.42 * soft + 0.20 * grad + 0.18 * contrast + 0.20 * other)) AS u FROM step)"""
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    """image_id, t, and by pixel soft, grad, contrast, other and u; the alpha is t, that of another model b."""
+    lit = G.bound(G.images(spark, sf), l=G.zipped(luminance, "r", "g", "b"))
+
+    def steps(c: str):
+        a = F.col(c)
+        off = lambda x, y, i, dx, dy: F.abs(G.at(a, i) - G.neighbour(a, x, y, dx, dy, "clamp"))
+        return G.each(lambda i, x, y: F.least(F.lit(1.0), off(x, y, i, 1, 0) + off(x, y, i, 0, 1)))
+
+    made = G.bound(lit, soft=F.transform("t", lambda v: 4 * v * (1 - v)), grad=steps("t"), contrast=steps("l"), other=G.zipped(lambda t, b: F.abs(t - b), "t", "b"))
+    return G.bound(made, u=G.zipped(lambda s, g, c, o: clamp(0.42 * s + 0.20 * g + 0.18 * c + 0.20 * o), "soft", "grad", "contrast", "other"))
+
+
+@query(_UNSURE + " SELECT image_id, round(avg(soft), 6) AS soft_range, round(avg(grad), 6) AS gradient, round(avg(contrast), 6) AS contrast, round(avg(other), 6) AS disagreement, round(avg(u), 6) AS risk FROM unsure GROUP BY image_id", planes=True)
 def uncertainty_features(spark: SparkSession, sf: str) -> DataFrame:
-    g = G.planes(spark, sf).withColumn("g", M.gradient_magnitude(F.col("a")))
-    soft = F.transform("a", lambda v: 4 * v * (1 - v))
-    unsure = G.zipped(lambda a, s: clamp(0.42 * 4 * a * (1 - a) + 0.2 * s + 0.18 * F.abs(a - 0.5)), "a", "g")
-    return g.select("image_id", F.round(G.mean(soft), 6).alias("entropy"), F.round(G.mean(F.col("g")), 6).alias("gradient"), F.round(F.array_max("a") - F.array_min("a"), 6).alias("contrast"), F.round(G.mean(unsure), 6).alias("uncertainty"))
+    """Means of softness, alpha steps and luminance steps to the right and below (together 1 at most), of the difference
+    from another model, and of the uncertainty that weighs them."""
+    names = {"soft": "soft_range", "grad": "gradient", "contrast": "contrast", "other": "disagreement", "u": "risk"}
+    return _features(spark, sf).select("image_id", *[F.round(G.mean(F.col(c)), 6).alias(n) for c, n in names.items()])
+
+
+def topology_risk(a: np.ndarray) -> float:
+    """Components of what alpha covers, four and more being the whole risk."""
+    return min(1.0, labelled(a >= 0.5)[1] / 4)
+
+
+def tiles_of(u: np.ndarray, least: float = 0.28, tile: int = 8, overlap: int = 2) -> list[tuple[int, int, int, int]]:
+    """(x, y, width, height) of tiles over the padded box of uncertain pixels; those after the first of a row start
+    earlier by the overlap, and the next starts where a tile ends."""
+    ys, xs = np.nonzero(u >= least)
+    if not len(xs):
+        return []
+    x0, y0 = max(0, int(xs.min()) - overlap), max(0, int(ys.min()) - overlap)
+    x1, y1 = min(u.shape[1], int(xs.max()) + overlap + 1), min(u.shape[0], int(ys.max()) + overlap + 1)
+    out = []
+    for top in range(y0, y1, tile):
+        left = x0
+        while left < x1:
+            start, end = left - (overlap if left > x0 else 0), min(left + tile + overlap, x1)
+            out.append((start, top, end - start, min(tile, y1 - top)))
+            left = end
+    return out
 
 
 @query(
-    """, u AS (SELECT image_id, x, y FROM px WHERE 4 * a * (1 - a) >= 0.98), b AS (SELECT image_id, greatest(0, min(x) - 2) AS x0, least(8, max(x) + 3) AS x1, greatest(0, min(y) - 2) AS y0, least(8, max(y) + 3) AS y1 FROM u GROUP BY image_id),
-t AS (SELECT b.*, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty FROM b, range(0, 8, 4) AS v(tx), range(0, 8, 4) AS w(ty) WHERE x0 + tx < x1 AND y0 + ty < y1)
-SELECT image_id, CAST(x0 + tx AS INTEGER) AS tile_x, CAST(y0 + ty AS INTEGER) AS tile_y, CAST(least(x1, x0 + tx + 6) - x0 - tx AS INTEGER) AS w, CAST(least(y1, y0 + ty + 4) - y0 - ty AS INTEGER) AS h FROM t""",
+    _UNSURE
+    + """, box AS (SELECT image_id, greatest(0, 3 * min(x) - 2) AS x0, greatest(0, 3 * min(y) - 2) AS y0, least(24, 3 * max(x) + 5) AS x1, least(24, 3 * max(y) + 5) AS y1 FROM unsure WHERE u >= 0.28 GROUP BY image_id),
+t AS (SELECT b.*, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM box b, range(0, 3) AS u(i), range(0, 3) AS v(j) WHERE x0 + 10 * i < x1 AND y0 + 8 * j < y1)
+SELECT image_id, CAST(x0 + 10 * i - CASE WHEN i > 0 THEN 2 ELSE 0 END AS INTEGER) AS tile_x, CAST(y0 + 8 * j AS INTEGER) AS tile_y, CAST(least(x1, x0 + 10 * i + 10) - x0 - 10 * i + CASE WHEN i > 0 THEN 2 ELSE 0 END AS INTEGER) AS w, CAST(least(8, y1 - y0 - 8 * j) AS INTEGER) AS h FROM t""",
     planes=True,
 )
 def crop_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles of 4 x 4 pixels, 2 columns wider to overlap, over the padded box of uncertain pixels."""
-    where = lambda f: F.filter(G.each(lambda i, x, y: F.when(4 * G.at(F.col("a"), i) * (1 - G.at(F.col("a"), i)) >= 0.98, f(x, y))), lambda v: v.isNotNull())
-    rows = G.planes(spark, sf).withColumn("xs", where(lambda x, y: x)).withColumn("ys", where(lambda x, y: y)).where(F.size("xs") > 0)
-    box = rows.select("image_id", *[F.greatest(F.lit(0), F.array_min(c + "s") - 2).alias(c + "0") for c in "xy"], *[F.least(F.lit(8), F.array_max(c + "s") + 3).alias(c + "1") for c in "xy"])
-    tiles = box.select("*", F.explode(F.sequence("x0", F.col("x1") - 1, F.lit(4))).alias("tile_x")).select("*", F.explode(F.sequence("y0", F.col("y1") - 1, F.lit(4))).alias("tile_y"))
-    return tiles.select("image_id", "tile_x", "tile_y", (F.least("x1", F.col("tile_x") + 6) - F.col("tile_x")).alias("w"), (F.least("y1", F.col("tile_y") + 4) - F.col("tile_y")).alias("h"))
+    """Tiles over the uncertain pixels of each image, whose uncertainty is enlarged three times to 24 x 24."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(i, *t) for i, u in zip(p["image_id"], p["u"], strict=True) for t in tiles_of(np.kron(np.array(u).reshape(G.SIDE, G.SIDE), np.ones((3, 3))))]
+            yield pd.DataFrame(rows, columns=["image_id", "tile_x", "tile_y", "w", "h"])
+
+    return _features(spark, sf).select("image_id", "u").mapInPandas(run, "image_id long, tile_x int, tile_y int, w int, h int")
 
 
 _R101 = "CASE WHEN {c} + {d} < 0 THEN -({c} + {d}) WHEN {c} + {d} > 7 THEN 14 - ({c} + {d}) ELSE {c} + {d} END"
@@ -171,6 +218,6 @@ SELECT image_id, idx, round(greatest(0.0, least(1.0, af / (al + 1e-5) + t * (a -
 )
 def fast_foreground_pass(spark: SparkSession, sf: str) -> DataFrame:
     """One pass of blur fusion of channel r with alpha t, over 3 x 3 pixels."""
-    rows = G.images(spark, sf).withColumns(M.fast_foreground_pass(F.col("a"), F.col("t"), F.col("a"), F.col("a"), 3))
+    rows = G.bound(G.images(spark, sf), **M.fast_foreground_pass(F.col("a"), F.col("t"), F.col("a"), F.col("a"), 3))
     fused = lambda k: G.each(lambda i, x, y: M.fused_foreground(i, F.col("a"), F.col("t"), F.col("af"), F.col("al"), F.col("bb"))[k])
     return G.by_pixel(rows, f=fused(0), b=fused(1)).select("image_id", "idx", F.round("f", 5).alias("f"), F.round("b", 5).alias("b"))

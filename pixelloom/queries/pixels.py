@@ -43,13 +43,13 @@ def srgb_linear_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """, lum AS (SELECT *, 0.2126 * a + 0.7152 * g + 0.0722 * b AS l FROM rgb), m AS (SELECT image_id, avg(l) AS m FROM lum GROUP BY image_id)
-SELECT lum.image_id, idx, round(l, 6) AS l, round(greatest(0.0, least(1.0, 0.5 + 1.8 * (l - m) + ((x + y) % 7 - 3) * 0.008)), 6) AS v FROM lum JOIN m USING (image_id)""",
+SELECT lum.image_id, idx, round(l, 6) AS l, round(greatest(0.0, least(1.0, 0.5 + 2.4 * (l - m + 0.12 + ((x + y) % 7 - 3) * 0.008))), 6) AS v FROM lum JOIN m USING (image_id)""",
     planes=True,
 )
 def luminance_segmenter(spark: SparkSession, sf: str) -> DataFrame:
     """Luminance, and a mask that is affine in it about the image's mean."""
-    lit = G.images(spark, sf).withColumn("l", G.zipped(P.luminance, "r", "g", "b")).withColumn("m", G.mean(F.col("l")))
-    mask = G.each(lambda i, x, y: P.clamp(0.5 + 1.8 * (G.at(F.col("l"), i) - F.col("m")) + ((x + y) % 7 - 3) * 0.008))
+    lit = G.bound(G.bound(G.images(spark, sf), l=G.zipped(P.luminance, "r", "g", "b")), m=G.mean(F.col("l")))
+    mask = G.each(lambda i, x, y: P.clamp(0.5 + 2.4 * (G.at(F.col("l"), i) - F.col("m") + 0.12 + ((x + y) % 7 - 3) * 0.008)))
     return G.by_pixel(lit, l=F.col("l"), v=mask).select("image_id", "idx", F.round("l", 6).alias("l"), F.round("v", 6).alias("v"))
 
 
