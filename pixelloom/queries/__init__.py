@@ -7,7 +7,7 @@ FLAGSHIP = "alpha_metrics"
 
 
 def _all() -> None:
-    from . import agreement, contracts, data_quality, experiments, generators, kernels, metrics, model_inputs, neighbourhoods, pixels, resampling  # noqa: F401
+    from . import agreement, codecs, contracts, data_quality, experiments, generators, kernels, metrics, model_inputs, neighbourhoods, pixels, resampling  # noqa: F401
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""See the modules."""
+"""Readers and writers of images, tensors, cache records and record lines."""
