@@ -1,7 +1,7 @@
 """A quality classifier on random-indexing word vectors.
 
 Each word has a sparse random index vector, which follows from a hash of it. A word's vector is the sum of the index
-vectors of its neighbours over a bounded sample of texts, normalised, and its own; a word that the sample doesn't have
+vectors of its neighbours over a bounded sample of texts, normalised, and its own; a word that the sample doesn't have twice
 gets the company of words of its shape that the sample has once. A document's words are pooled to the mean and the
 deviation of their vectors and the length of the mean; a network of two layers, in numpy, gives a logit, and a
 temperature found on rows that it isn't trained on makes it a probability.
@@ -56,7 +56,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All words of the texts, their vectors, and the company of words of each shape that the texts have once."""
+    """The words that the texts have twice or more, their vectors, and the company of words of each shape that they have once."""
     cut = [TOKEN.findall(t or "") for t in texts]
     counts: dict[str, int] = {}
     for ws in cut:
@@ -79,7 +79,8 @@ def word_vectors(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     once = [i for i, w in enumerate(words) if counts[w] == 1]
     np.add.at(company, [shape(words[i]) for i in once], context[once])
     # A word is its company and, by less, itself; words of one kind of text end up near each other.
-    return words, (_unit(context) + 0.5 * _unit(own)).astype(np.float32), _unit(company).astype(np.float32)
+    more = [i for i, w in enumerate(words) if counts[w] > 1]
+    return [words[i] for i in more], (_unit(context[more]) + 0.5 * _unit(own[more])).astype(np.float32), _unit(company).astype(np.float32)
 
 
 @dataclass
@@ -94,24 +95,26 @@ class Vectors:
     def of_others(self, words: list[str]) -> np.ndarray:
         return self.company[[shape(w) for w in words]] + 0.5 * _unit(index_vectors(words))
 
-    def pooled(self, text: str | None) -> np.ndarray:
-        """Mean, deviation, length of the mean, and the logarithm of the number of words; all 0 without a word."""
-        words = TOKEN.findall(text) if text else []
-        if not words:
-            return np.zeros(2 * DIMENSIONS + 2, dtype=np.float32)
-        at, others = self.at, {}
-        base = len(self.words)
-        ids = np.fromiter((i if (i := at.get(w)) is not None else base + others.setdefault(w, len(others)) for w in words), np.int64, len(words))
-        n = np.bincount(ids)
-        which = np.flatnonzero(n)
-        known = which[which < base]
-        x = self.vectors[known]
-        if others:
-            x = np.concatenate([x, self.of_others(list(others))])
-        weight = (n[which] / len(ids)).astype(np.float32)
-        mean = weight @ x
-        deviation = np.sqrt(np.maximum(weight @ (x * x) - mean * mean, 0))
-        return np.concatenate([mean, deviation, [np.linalg.norm(mean), np.log1p(len(ids)) / 10]]).astype(np.float32)
+    def pooled(self, texts: list[str | None]) -> np.ndarray:
+        """For each text mean, deviation, length of the mean, and the logarithm of the number of words; all 0 without a word."""
+        out, base, get = np.zeros((len(texts), 2 * DIMENSIONS + 2), dtype=np.float32), len(self.words), self.at.get
+        others: dict[str, int] = {}
+        cut = []
+        for text in texts:
+            words = TOKEN.findall(text) if text else []
+            cut.append(np.fromiter((i if (i := get(w)) is not None else base + others.setdefault(w, len(others)) for w in words), np.int64, len(words)))
+        extra = self.of_others(list(others)) if others else self.company[:0]
+        for k, ids in enumerate(cut):
+            if not len(ids):
+                continue
+            which, n = np.unique(ids, return_counts=True)
+            known = int(np.searchsorted(which, base))
+            x = np.concatenate([self.vectors[which[:known]], extra[which[known:] - base]])
+            weight = (n / len(ids)).astype(np.float32)
+            mean = weight @ x
+            deviation = np.sqrt(np.maximum(weight @ (x * x) - mean * mean, 0))
+            out[k] = np.concatenate([mean, deviation, [np.linalg.norm(mean), np.log1p(len(ids)) / 10]])
+        return out
 
 
 @dataclass
@@ -176,7 +179,7 @@ def _pooled_rows(rows: DataFrame, sent) -> DataFrame:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([sent.value.pooled(t) for t in batch.column("text").to_pylist()], kinds.types[1])], schema=kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(sent.value.pooled(batch.column("text").to_pylist())), kinds.types[1])], schema=kinds)
 
     return rows.select("quality", "text").mapInArrow(pool, "quality int, x array<float>")
 
@@ -232,7 +235,7 @@ def score(docs: DataFrame, model: Model, predicted_from: float = PREDICTED_FROM)
             if own.network is None:
                 scores = np.full(batch.num_rows, own.constant)
             else:
-                scores = own.network.scores(np.array([own.vectors.pooled(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(batch.num_rows, -1))
+                scores = own.network.scores(own.vectors.pooled(batch.column("text").to_pylist()).astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= predicted_from).astype(np.int32))], schema=out)
 
     return pick(docs, "doc_id", "text").mapInArrow(predict, "doc_id bigint, score double, predicted int")
