@@ -33,8 +33,8 @@ def vocabulary_path(name_or_path: str) -> str:
 class Encoder:
     """ids(text): a numpy array of uint32. keeps_space: white space is part of the ids (byte-level BPE)."""
 
-    #: Units kept at most, then the cache starts anew: about 200 bytes each.
-    MOST = 700_000
+    #: Units after which the cache starts anew with the next batch, whose own units all fit: about 200 bytes each.
+    MOST = 1_200_000
     AT_ONCE = 256
 
     def __init__(self, vocabulary: str) -> None:
@@ -61,8 +61,6 @@ class Encoder:
 
     def learn(self, units: list[bytes]) -> None:
         """Encode new units: many joined by a mark that none of them holds."""
-        if len(self.seen) + len(units) > self.MOST:
-            self.seen.clear()
         glue = b" " + self.mark + b" "
         every = b" ".join(units).lower()
         special = [s for s in self.special if s in every]
@@ -103,14 +101,10 @@ class Encoder:
             t = t or ""
             cut.append(t if not t.isascii() and ODD_SPACE.search(t) or t.isascii() and re.search("[\x1c-\x1f]", t) else self.units(t.encode("utf-8", "surrogatepass")))
         seen = self.seen
-        new = set(chain.from_iterable(c for c in cut if type(c) is list)).difference(seen)
-        if new:
-            before = len(seen)
+        if len(seen) > self.MOST:
+            seen.clear()
+        if new := set(chain.from_iterable(c for c in cut if type(c) is list)).difference(seen):
             self.learn(list(new))
-            if len(seen) < before + len(new):  # it started anew
-                missing = {u for c in cut if type(c) is list for u in c if u not in seen}
-                if missing:
-                    self.learn(list(missing))
         kind = "<u2" if self.narrow else "<u4"
         get = seen.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), dtype=kind).astype(np.uint32) if type(c) is list else np.array(self.whole(c), dtype=np.uint32) for c in cut]

@@ -411,3 +411,15 @@ def test_rows_without_an_id_are_deduplicated(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in near_dup.one_of_each(docs, similarity=0.8).collect())
     assert got == sorted([("1", texts[0]), ("None", texts[1].upper()), ("None", texts[2]), ("5", "other words")])
+
+
+def test_a_full_cache_starts_anew_and_holds_a_batch(monkeypatch):
+    from pixelloom.llm.tokens import Encoder
+
+    enc = Encoder("byte_bpe_50k.json")
+    monkeypatch.setattr(Encoder, "MOST", 3)
+    draw = random.Random(4)
+    for _ in range(20):
+        texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(40)) for _ in range(3)]
+        assert [x.tolist() for x in enc.batch(texts)] == [enc.whole(t) for t in texts]
+    assert len(enc.seen) <= 3 + 200
