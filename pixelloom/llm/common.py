@@ -8,12 +8,17 @@ import uuid
 import zlib
 from collections.abc import Iterable
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as all the contracts mean it: \x20 and \x09-\x0D.
 SPACE = r"\x20\x09-\x0D"
 
+#: Bits of a bitmap of numbers: 8 MB, whatever the corpus.
+BITMAP = 1 << 26
+
 DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 
@@ -70,6 +75,29 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(numbers: DataFrame, name: str) -> Broadcast:
+    """The lowest bits of the numbers in a column, as a bitmap that all tasks can read."""
+    place = F.col(name).bitwiseAND(F.lit(BITMAP - 1))
+    words = numbers.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("b"))
+    bits = np.zeros(BITMAP // 64, dtype="<i8")
+    for part in words.toArrow().to_batches():  # 2 ** 20 rows at most
+        bits[part.column("w").to_numpy()] = part.column("b").to_numpy()
+    return numbers.sparkSession.sparkContext.broadcast(np.flatnonzero(bits).astype("<i4").tobytes() + bits[bits != 0].tobytes())
+
+
+def bits_of(sent: bytes) -> np.ndarray:
+    n = len(sent) // 12
+    bits = np.zeros(BITMAP // 64, dtype="<i8")
+    bits[np.frombuffer(sent, "<i4", n)] = np.frombuffer(sent, "<i8", n, 4 * n)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """False for numbers that the column didn't have; true for all that it had, and some others."""
+    at = numbers & (BITMAP - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def id_crc32(doc_id: Column) -> Column:
     """crc32 of doc_id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -86,7 +86,8 @@ def _limits(rows: DataFrame, weights: tuple[int, ...], most: float, seed: int) -
     for level in range(LEVELS):
         state = saved(_refined(sized, state, level), f"mix-level-{level}")
     limits = budgets.drop("budget").withColumnRenamed("source", "s").join(state.select("source", "limit"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
-    return sized, limits
+    # A row for each source, written, so that its size is known: Spark broadcasts it if it is small, and texts stay where they are.
+    return sized, saved(limits, "mix-limits")
 
 
 def _copies(has_words: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DOCUMENT_TYPES, as_bytes, pick, saved, small_batches
+from .common import DOCUMENT_TYPES, as_bytes, bitmap, bits_of, in_bitmap, pick, saved, small_batches
 from .similar_links import similar_links
 
 BUCKET = 64
@@ -258,9 +258,12 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, s
 
 
 def _labels(docs: DataFrame, shingle: int, radius: int, seed: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp of every row; and fp, root, component_id of every fingerprint: root is the same in all of its group."""
+    """doc_id, fp of every row; and fp, root, component_id, alone of every fingerprint.
+
+    root is the same in all of its group; alone: one row has the fingerprint, and it has no link.
+    """
     marked = saved(fingerprints(docs, shingle, seed), "simhash")
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     of = components(links(distinct.select("fp"), radius))
     if similarity is not None:
         of = saved(of, "simhash-components")
@@ -270,25 +273,42 @@ def _labels(docs: DataFrame, shingle: int, radius: int, seed: int, similarity: f
     linked = of.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = saved(salted_join(linked, least, "root", "node").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
-    return marked, distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    return marked, distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"), (F.col("root").isNull() & (F.col("n") == 1)).alias("alone"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _grouped_rows(docs: DataFrame, ids, grouped: bool, names: list[str], shingle: int, seed: int) -> DataFrame:
+    """The rows with a doc_id that the bitmap ids holds, with fp; or those with one that it doesn't."""
+    small_batches(docs.sparkSession)
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bits_of(ids.value)
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(bits, batch.column("doc_id").to_numpy()) == grouped))
+            fps = [pa.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], pa.int64())] if grouped else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *fps], names=[*names, "fp"][: len(names) + len(fps)])
+
+    return pick(docs, *names).where("doc_id IS NOT NULL").mapInArrow(parted, ", ".join([*[f"{c} {DOCUMENT_TYPES[c]}" for c in names], "fp bigint"][: len(names) + grouped]))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """The columns of documents: of each group the row with the smallest doc_id; of a group without any, the least row.
 
     Of rows with equal doc_id and fingerprint one stays, the least by its columns; with equal ids but different
     fingerprints each stays. Rows without a doc_id go if their group has a document with one; else one stays, the least
     by its columns. The fingerprints of texts are computed again here, which is cheaper than to keep texts beside them.
+    Documents that are a group of their own stay where they are: a bitmap tells most of them, and the others' texts alone
+    are shuffled.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     marked, label = _labels(docs, shingle, radius, seed, similarity)
     found = marked.join(label, "fp").where(F.col("doc_id") == F.col("component_id"))
     stay = saved(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-stay")
-    kept = fingerprints(docs, shingle, seed, *names).join(stay, ["doc_id", "fp"])
+    ids = bitmap(marked.where("doc_id IS NOT NULL").join(label.where(~F.col("alone")).select("fp"), "fp").select("doc_id"), "doc_id")
+    kept = _grouped_rows(docs, ids, True, names, shingle, seed).join(stay, ["doc_id", "fp"])
     single = kept.where("n = 1").select(*names)
     if not stay.where("n > 1").take(1):
         several = single.limit(0)
@@ -298,4 +318,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int =
     nameless = label.where("component_id IS NULL").select("fp", "root")
     least = fingerprints(pick(docs, *names).where("doc_id IS NULL"), shingle, seed, *names).groupBy("fp").agg(F.min(F.struct(*names)).alias("row"))
     unnamed = least.join(nameless, "fp").groupBy("root").agg(F.min("row").alias("row"))
-    return single.unionAll(several).unionAll(unnamed.select("row.*"))
+    alone = _grouped_rows(docs, ids, False, names, shingle, seed)
+    return alone.unionAll(single).unionAll(several).unionAll(unnamed.select("row.*"))

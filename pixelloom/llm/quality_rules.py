@@ -294,9 +294,11 @@ def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
     Null languages and sources are groups as well. Repeated rows are judged alike. An empty table gives no rows.
     Columns of docs beside documents' own don't matter.
     """
-    found = saved(statistics(docs, *others), "quality-statistics")  # texts too if they are wanted: cheaper than to count them again
-    measured = found.where(~F.col("base_failed"))
-    vectors = saved(measured.select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
+    # Beside texts the statistics are counted again, so that no copy of the corpus lies in the shared folder.
+    texts = "text" in others
+    found = statistics(docs, *others) if texts else saved(statistics(docs, *others), "quality-statistics")
+    measured = statistics(docs) if texts else found
+    vectors = saved(measured.where(~F.col("base_failed")).select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
     of = estimates(vectors)
     # Each pair of lang and source that there is, with its own numbers and those of its parents: three rows a pair.
     pairs = vectors.select("lang", "source").distinct().select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(_keys()).alias("key"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches_of, pick, saved, small_batches
+from .common import as_bytes, batches_of, bitmap, bits_of, in_bitmap, pick, saved, small_batches
 
 BANDS, ROWS = 32, 4
 #: Texts of a bucket that is one block; larger ones are dealt to cells of half of that.
@@ -38,8 +38,6 @@ MARGIN = 0.21
 SALTS = 16
 #: One of so many blocks goes first.
 FIRST = 8
-#: Bits of the bitmap of texts that are in blocks: 8 MB, whatever the corpus.
-BITMAP = 1 << 26
 #: Columns of shingles that are multiplied at once.
 COLUMNS = 4096
 #: Rows of a text in blocks that meet one copy of its set.
@@ -266,22 +264,14 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """class, set of the wanted classes. A bitmap of fixed size tells most other texts before any text is shuffled."""
-    place = F.col("class").bitwiseAND(F.lit(BITMAP - 1))
-    words = wanted.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(class & 63 as int))")).alias("b"))
-    bits = np.zeros(BITMAP // 64, dtype="<i8")
-    for part in words.toArrow().to_batches():  # 2 ** 20 rows at most
-        bits[part.column("w").to_numpy()] = part.column("b").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(bits).astype("<i4").tobytes() + bits[bits != 0].tobytes())
+    sent = bitmap(wanted, "class")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(sent.value) // 12
-        has = np.zeros(BITMAP // 64, dtype="<i8")
-        has[np.frombuffer(sent.value, "<i4", n)] = np.frombuffer(sent.value, "<i8", n, 4 * n)
+        bits = bits_of(sent.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             own = np.array([class_of(words_of(t)) for t in texts], dtype=np.int64)
-            at = own & (BITMAP - 1)
-            live = (has[at >> 6] >> (at & 63)) & 1 == 1
+            live = in_bitmap(bits, own)
             yield pa.RecordBatch.from_arrays([pa.array(own[live]), batch.column("text").filter(pa.array(live))], names=["class", "text"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
