@@ -423,3 +423,14 @@ def test_a_full_cache_starts_anew_and_holds_a_batch(monkeypatch):
         texts = [" ".join(f"w{draw.randrange(60)}" for _ in range(40)) for _ in range(3)]
         assert [x.tolist() for x in enc.batch(texts)] == [enc.whole(t) for t in texts]
     assert len(enc.seen) <= 3 + 200
+
+
+def test_documents_alone_stay_whatever_bits_their_ids_share(spark):
+    """1 and 2 are copies; other ids have the bits of 1, or are negative, or stand for two texts."""
+    far = 1 + (1 << 26)
+    rows = [(1, "red green blue black"), (2, "red green blue black"), (far, "one two three four five"), (-7, "six seven eight nine ten"), (-7, "red green blue black")]
+    rows += [(9, "oak elm ash fir yew"), (9, "tin zinc iron lead gold"), (11, "salt salt salt salt"), (11, "salt salt salt salt")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r["doc_id"], r["text"]) for r in near_dup.one_of_each(docs).collect())
+    want = [(-7, "red green blue black"), (-7, "six seven eight nine ten"), (9, "oak elm ash fir yew"), (9, "tin zinc iron lead gold"), (11, "salt salt salt salt"), (far, "one two three four five")]
+    assert got == sorted(want)
