@@ -16,7 +16,7 @@ make them, are one; and a part of the blocks goes first, since what that links l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -39,7 +39,7 @@ SALTS = 16
 #: One of so many blocks goes first.
 FIRST = 8
 #: Columns of shingles that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 1024
 #: Rows of a text in blocks that meet one copy of its set.
 SPREAD = 256
 BLOCK = 2048
@@ -219,22 +219,24 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that hold together what all links (a, b) do."""
-    root: dict[int, int] = {}
+def _forest(alike: Iterable[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """Links (a, b) between groups that hold together what all true places of alike do: one row of it at a time.
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    kept = []
-    for x, y in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).tolist():
-        u, v = find(x), find(y)
-        if u != v:
-            root[v] = u
-            kept.append((x, y))
-    return kept
+    left, right: the groups of rows and columns.
+    """
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    of, at = np.arange(len(names)), at.reshape(-1)
+    a, b = [], []
+    for i, row in enumerate(alike):
+        own = of[at[i]]
+        met = np.unique(of[at[len(left) + np.flatnonzero(row)]])
+        met = met[met != own]
+        if len(met):
+            a.append(np.full(len(met), names[own]))
+            b.append(names[met])
+            of[np.isin(of, met)] = own
+    none = np.zeros(0, dtype=np.int64)
+    return [np.concatenate([none, *a]), np.concatenate([none, *b])]
 
 
 def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -248,11 +250,10 @@ def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         if not len(left) or not len(right):
             return [np.zeros(0, dtype=np.int64)] * 2
-        shared = common([of[i] for i in left], [of[i] for i in right]).astype(np.float64)
+        shared = common([of[i] for i in left], [of[i] for i in right])
         size = np.array([len(x) for x in of])
-        alike = shared >= similarity * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
-        i, j = np.nonzero(alike & (grp[left][:, None] != grp[right][None, :]))
-        return list(np.array(_forest(grp[left[i]], grp[right[j]]), dtype=np.int64).reshape(-1, 2).T)
+        alike = (n >= similarity * (size[i] + size[right] - n) - 1e-9 for i, n in zip(left, (row.astype(np.float64) for row in shared), strict=True))
+        return _forest(alike, grp[left], grp[right])
 
     # A text in many blocks has copies of its set, one for SPREAD rows.
     degree = met.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))

@@ -434,3 +434,22 @@ def test_documents_alone_stay_whatever_bits_their_ids_share(spark):
     got = sorted((r["doc_id"], r["text"]) for r in near_dup.one_of_each(docs).collect())
     want = [(-7, "red green blue black"), (-7, "six seven eight nine ten"), (9, "oak elm ash fir yew"), (9, "tin zinc iron lead gold"), (11, "salt salt salt salt"), (far, "one two three four five")]
     assert got == sorted(want)
+
+
+def test_forest_holds_together_what_all_links_do():
+    draw = np.random.default_rng(8)
+    for n, m, k in ((0, 3, 2), (1, 1, 1), (6, 9, 4), (20, 30, 50), (40, 40, 60)):
+        left, right = draw.integers(-k, k, n), draw.integers(-k, k, m)
+        alike = draw.random((n, m)) < 0.04
+        want = {(min(left[i], right[j]), max(left[i], right[j])) for i, j in zip(*np.nonzero(alike), strict=True) if left[i] != right[j]}
+        a, b = similar_links._forest(alike, left, right)
+
+        def parts(links):
+            of = {x: x for x in [*left.tolist(), *right.tolist()]}
+            for x, y in links:
+                of = {z: of[int(x)] if o == of[int(y)] else o for z, o in of.items()}
+            return {frozenset(z for z in of if of[z] == o) for o in of.values()}
+
+        got = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert parts(got) == parts(want)
+        assert len(got) == len(set(left) | set(right)) - len(parts(want))
