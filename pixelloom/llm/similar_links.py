@@ -5,10 +5,15 @@ fixed share of all pairs. So these links come from min-hash bands: BANDS keys of
 similarity 0.8 fail to share once in 10 ** 7. In a bucket, all pairs of different groups are compared on the whole sets
 of shingles; only pairs whose minima put them far below go before that.
 
+A large group of near copies has much the same bucket in each band. Large buckets that share texts become one, where that
+makes no more pairs, so its pairs meet once and not once a band.
+
 Large buckets are dealt to cells, and blocks of two cells meet: each cell of texts outside the bucket's largest group
 with each cell of the bucket. Before that their texts meet the bucket's most typical ones, which links most of a group
 that one text holds together; what is linked then no longer counts as outside. That only saves work, since what stays
-outside meets the whole bucket. A bucket of n texts with r outside has about 2nr / CELL rows of blocks.
+outside meets the whole bucket. A block holds the sets of its outside texts and reads the others' past them, so there are
+few cells: a bucket of n texts with r outside has n + CELLS * r rows of blocks at most while r is up to 2048 and n up to
+131072, beyond that about nr / 2048 + nr / 16384. The pairs compared inside blocks stay nr.
 
 Whole sets are what is wide here, so they are sent as seldom as can be: blocks of the same texts, as the bands of a group
 make them, are one; and a part of the blocks goes first, since what that links leaves most others with one group only.
@@ -17,7 +22,7 @@ make them, are one; and a part of the blocks goes first, since what that links l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batches_of, bitmap, bits_of, in_bitmap, pick, saved, small_batches
 
 BANDS, ROWS = 32, 4
-#: Texts of a bucket that is one block; larger ones are dealt to cells of half of that.
+#: Texts of a bucket that is one block; of larger ones a cell has half of that, or more where there would be over CELLS.
 MOST = 1024
+CELLS = 8
+#: Texts outside the largest group that a block holds, and texts that it reads past them, in MOST.
+LEFT, RIGHT = 2, 16
 #: Typical texts that a cell of a large bucket names.
 NAMED = 4
 #: How far an estimate may be below the similarity: of pairs at 0.8, one in 3 * 10 ** 7 is estimated lower by 128 minima.
@@ -42,6 +50,8 @@ FIRST = 8
 COLUMNS = 1024
 #: Rows of a text in blocks that meet one copy of its set.
 SPREAD = 256
+#: Left texts that are multiplied at once.
+HELD = 512
 BLOCK = 2048
 SEED = 42
 
@@ -98,29 +108,29 @@ def sketches(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
     return pick(docs, "text").mapInArrow(found, "fp bigint, class bigint, keys array<bigint>, minima binary")
 
 
-def _by_block(dealt: DataFrame, names: list[str], found: Callable[[pa.Table], list[np.ndarray]], ddl: str) -> DataFrame:
-    """The columns that found() makes of the rows of each block, which have equal columns of these names."""
+def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Parts of the blocks in turn, each with the block's columns of these names: rows of a block that one batch has."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(c).to_numpy() for c in names]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for i, j in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+            yield tuple(c[i] for c in columns), table.slice(i, j - i)
+
+
+def _by_block(dealt: DataFrame, names: list[str], found: Callable[[Iterator[pa.Table]], Iterable[list[np.ndarray]]], ddl: str, *order: Column | str) -> DataFrame:
+    """The columns that found() makes of the rows of each block, which have equal columns of these names.
+
+    found() gets the parts of a block in turn, by order and class.
+    """
     fields = [x.split() for x in ddl.split(", ")]
     kinds = {"bigint": np.int64, "int": np.int32}
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            columns = [table.column(c).to_numpy() for c in names]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            for i, j in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
-                block = tuple(c[i] for c in columns)
-                if held and block != last:
-                    yield found(pa.concat_tables(held))
-                    held = []
-                held.append(table.slice(i, j - i))
-                last = block
-        if held:
-            yield found(pa.concat_tables(held))
+        for _, parts in groupby(_blocks(batches, names), key=lambda x: x[0]):
+            yield from found(part for _, part in parts)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches_of(results(batches), 256):
@@ -129,7 +139,7 @@ def _by_block(dealt: DataFrame, names: list[str], found: Callable[[pa.Table], li
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[n for n, _ in fields])
 
     small_batches(dealt.sparkSession)
-    return dealt.repartition(*names).sortWithinPartitions(*names, "class").mapInArrow(blocks, ddl)
+    return dealt.repartition(*names).sortWithinPartitions(*names, *order, "class").mapInArrow(blocks, ddl)
 
 
 def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -142,6 +152,27 @@ def _cells(n: Column) -> Column:
     return F.greatest(F.ceil(n / (MOST // 2)), F.lit(1)).cast("int")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """key, class, grp, n: large buckets that share texts are one, if it has no more pairs than they have together.
+
+    rows: the same columns; n is the number of a key's texts.
+    """
+    from .near_dup import components
+
+    large = rows.where(F.col("n") > MOST // 2)
+    if not large.take(1):
+        return rows
+    low = large.groupBy("class").agg(F.min("key").alias("low"))
+    edges = large.join(low, "class").select(F.col("key").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    of = components(edges).select(F.col("node").alias("key"), F.col("root").alias("one"))
+    apart = of.join(large.select("key", "n").distinct(), "key").groupBy("one").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    named = saved(_meet(large, of).select("one", "class", "grp").distinct(), "similar-merged")
+    whole = named.groupBy("one").agg(F.count(F.lit(1)).alias("n")).join(apart, "one").where(F.col("n") * F.col("n") <= F.col("pairs")).select("one", "n")
+    one = _meet(named.withColumnRenamed("one", "key"), whole.withColumnRenamed("one", "key")).select("key", "class", "grp", "n")
+    others = rows.join(F.broadcast(of.join(whole, "one").select("key")), "key", "left_anti").select("key", "class", "grp", "n")
+    return saved(others.unionAll(one), "similar-rows")
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """key, p, q, side, class, grp: each left text of p's cell and each text of q's meet in the block (key, p, q).
 
@@ -159,12 +190,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def typical(rows: DataFrame, minima_of: DataFrame) -> DataFrame:
     """key, class: of each bucket the texts whose minima agree most with the most frequent ones of their cell."""
 
-    def named(table: pa.Table) -> list[np.ndarray]:
+    def named(parts: Iterator[pa.Table]) -> Iterator[list[np.ndarray]]:
+        table = pa.concat_tables(parts)
         flat = _flat(table)
         counts = np.bincount((flat + 256 * np.arange(BANDS * ROWS)).ravel(), minlength=256 * BANDS * ROWS).reshape(-1, 256)
         agree = (flat == counts.argmax(axis=1)).sum(axis=1)
         best = np.argsort(-agree, kind="stable")[:NAMED]
-        return [table.column("key").to_numpy()[best], table.column("class").to_numpy()[best], agree[best]]
+        yield [table.column("key").to_numpy()[best], table.column("class").to_numpy()[best], agree[best]]
 
     cells = rows.withColumn("cell", F.pmod(F.xxhash64("class", "key"), F.col("qs")).cast("int")).select("key", "cell", "class").join(minima_of, "class")
     best = _by_block(cells, ["key", "cell"], named, "key bigint, class bigint, agree int").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("agree", "class")), False).alias("best"))
@@ -181,7 +213,8 @@ def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
     same: a number of the texts left in the block and their sides. Of blocks with one number, one stays.
     """
 
-    def near(table: pa.Table) -> list[np.ndarray]:
+    def near(parts: Iterator[pa.Table]) -> Iterator[list[np.ndarray]]:
+        table = pa.concat_tables(parts)
         flat, grp, side = _flat(table), table.column("grp").to_numpy(), table.column("side").to_numpy()
         right, live = np.flatnonzero(side & 2), np.zeros(len(grp), dtype=bool)
         for i in np.flatnonzero(side & 1):
@@ -192,7 +225,7 @@ def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
         own = [table.column(c).to_numpy()[live] for c in ("key", "p", "q", "side", "class", "grp")]
         order = np.lexsort((own[3], own[4]))
         same = xxhash.xxh64_intdigest(own[4][order].tobytes() + own[3][order].astype(np.int32).tobytes()) >> 1
-        return [*own, np.full(int(live.sum()), same, dtype=np.int64)]
+        yield [*own, np.full(int(live.sum()), same, dtype=np.int64)]
 
     wide = dealt.join(minima_of, "class").select("key", "p", "q", "side", "class", "grp", "minima")
     found = saved(_by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint, same bigint"), "similar-reach")
@@ -239,28 +272,54 @@ def _forest(alike: Iterable[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return [np.concatenate([none, *a]), np.concatenate([none, *b])]
 
 
+def _linked(left: list[np.ndarray], own: np.ndarray, right: list[np.ndarray], other: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Links (a, b) between the groups own of left sets and the groups other of right sets."""
+    shared = common(left, right)
+    size, sizes = [len(x) for x in left], np.array([len(x) for x in right])
+    alike = (n >= similarity * (k + sizes - n) - 1e-9 for k, n in zip(size, (row.astype(np.float64) for row in shared), strict=True))
+    return _forest(alike, own, other)
+
+
+def _renamed(grp: np.ndarray, to: dict[int, int]) -> np.ndarray:
+    """The groups, each by the name at the end of its links."""
+    names = grp.tolist()
+    for i, name in enumerate(names):
+        while name in to:
+            name = to[name]
+        names[i] = name
+    return np.array(names, dtype=np.int64)
+
+
 def verified(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: links between groups, by all pairs of different groups in the blocks, on their whole sets."""
 
-    def linked(table: pa.Table) -> list[np.ndarray]:
-        grp, side = table.column("grp").to_numpy(), table.column("side").to_numpy()
-        flat = table.column("set").combine_chunks()
-        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        of = [values[ends[i] : ends[i + 1]] for i in range(len(grp))]
-        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        if not len(left) or not len(right):
-            return [np.zeros(0, dtype=np.int64)] * 2
-        shared = common([of[i] for i in left], [of[i] for i in right])
-        size = np.array([len(x) for x in of])
-        alike = (n >= similarity * (size[i] + size[right] - n) - 1e-9 for i, n in zip(left, (row.astype(np.float64) for row in shared), strict=True))
-        return _forest(alike, grp[left], grp[right])
+    def linked(parts: Iterator[pa.Table]) -> Iterator[list[np.ndarray]]:
+        left, grp, to = [], np.zeros(0, dtype=np.int64), {}
+        for part in parts:
+            own, side = _renamed(part.column("grp").to_numpy(), to), part.column("side").to_numpy()
+            flat = part.column("set").combine_chunks()
+            ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            of = [values[ends[i] : ends[i + 1]] for i in range(len(own))]
+            # Texts of the left side alone come first, then those of both: so each left text meets all that are right.
+            left += [of[i].copy() for i in np.flatnonzero(side & 1)]
+            grp = np.concatenate([grp, own[(side & 1) > 0]])
+            right = np.flatnonzero(side & 2)
+            sets, other = [of[i] for i in right], own[right]
+            for at in range(0, len(left), HELD):
+                some = slice(at, at + HELD)
+                if (grp[some, None] != other).any():
+                    a, b = _linked(left[some], grp[some], sets, other, similarity)
+                    if len(a):
+                        to.update(zip(b.tolist(), a.tolist(), strict=True))
+                        grp, other = _renamed(grp, to), _renamed(other, to)
+                        yield [a, b]
 
     # A text in many blocks has copies of its set, one for SPREAD rows.
     degree = met.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))
     copied = sets.join(degree, "class").select("class", "set", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     salted = met.join(degree, "class").withColumn("copy", F.pmod(F.xxhash64("key", "p", "q"), F.col("copies")).cast("int")).drop("copies")
     wide = salted.join(copied, ["class", "copy"]).select("key", "p", "q", "side", "class", "grp", "set")
-    return _by_block(wide, ["key", "p", "q"], linked, "a bigint, b bigint").distinct()
+    return _by_block(wide, ["key", "p", "q"], linked, "a bigint, b bigint", F.col("side").bitwiseAND(1).desc(), "side").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -300,7 +359,7 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
     rows = each.select("class", "grp", F.explode("keys").alias("key"))
     # Buckets of one group have nothing to link.
     several = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    rows = saved(_meet(rows, several), "similar-rows")
+    rows = _merged(saved(_meet(rows, several).select("key", "class", "grp", "n"), "similar-rows"))
 
     def links(dealt: DataFrame) -> DataFrame:
         met = saved(in_reach(dealt, minima_of, similarity - MARGIN), "similar-met")
@@ -325,6 +384,8 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
     met = _meet(rows, sizes.select("key", F.col("most.size").alias("size"), F.col("most.grp").alias("major")))
     whole = F.col("n") <= MOST
     met = met.withColumn("left", F.col("grp") != F.col("major"))
-    met = met.withColumn("ps", F.when(whole, 1).otherwise(_cells(F.col("n") - F.col("size")))).withColumn("qs", F.when(whole, 1).otherwise(_cells(F.col("n"))))
+    ps = F.greatest(F.ceil((F.col("n") - F.col("size")) / (LEFT * MOST)), F.lit(1))
+    qs = F.greatest(F.least(_cells(F.col("n")), F.lit(CELLS)), F.ceil(F.col("n") / (RIGHT * MOST)))
+    met = met.withColumn("ps", F.when(whole, 1).otherwise(ps).cast("int")).withColumn("qs", F.when(whole, 1).otherwise(qs).cast("int"))
     found = links(_dealt(met))
     return found if first is None else found.unionAll(first)

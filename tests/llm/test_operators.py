@@ -384,6 +384,57 @@ def test_variants_of_a_template_on_both_sides_of_the_limit(spark):
     assert 100 < pairs < 40_000 and split == 0
 
 
+def test_blocks_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    """Variants of one template share most bands, and near the limit many stay outside the largest group."""
+    monkeypatch.setattr(similar_links, "MOST", 128)
+    met, reach = [], similar_links.in_reach
+    monkeypatch.setattr(similar_links, "in_reach", lambda dealt, *rest: met.append(dealt.count()) or reach(dealt, *rest))
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for c in range(1200):
+        text = list(base)
+        for k in draw.sample(range(0, 200, 5), 4):
+            text[k] = f"new{c}x{k}"
+        texts.append(" ".join(text))
+    pairs, split = _split_pairs(spark, texts)
+    assert pairs > 100 and split == 0
+    assert sum(met) < 2 * 32 * len(texts), met  # a text has 32 bands
+
+
+def test_blocks_read_in_parts_have_all_links(spark):
+    """A block of several Arrow batches, with texts of one side and of both."""
+    draw = np.random.default_rng(6)
+    n, words = 700, 60
+    sets = [np.unique(np.concatenate([np.arange(words)[draw.random(words) < 0.93], 1000 * i + draw.integers(100, 900, 3)])) for i in range(n)]
+    side = draw.choice([1, 2, 3], n)
+    batch = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        met = spark.createDataFrame([(5, 0, 0, int(s), i, 10 + i) for i, s in enumerate(side)], "key long, p int, q int, side int, class long, grp long")
+        own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "class long, set array<long>")
+        got = [(r["a"], r["b"]) for r in similar_links.verified(met, own, 0.8).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    of = {i: set(x.tolist()) for i, x in enumerate(sets)}
+    want = [(10 + i, 10 + j) for i in range(n) if side[i] & 1 for j in range(n) if side[j] & 2 and i != j and 10 * len(of[i] & of[j]) >= 8 * len(of[i] | of[j])]
+
+    def parts(links):
+        root = {10 + i: 10 + i for i in range(n)}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return [find(10 + i) for i in range(n)]
+
+    met, true = parts(got), parts(want)
+    assert len(set(zip(met, true, strict=True))) == len(set(met)) == len(set(true)) and 1 < len(set(true)) < n
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_those_of_the_library_for_special_strings(name):
     from tokenizers import Tokenizer
