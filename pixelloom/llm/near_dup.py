@@ -30,6 +30,8 @@ from .similar_links import similar_links
 BUCKET = 64
 #: Parts that the rows of one node, fingerprint or component are dealt to when they meet what is known of it.
 SALTS = 8
+#: Links that the driver joins to components itself (4 MB of them); more go through rounds of joins.
+LOCAL = 1 << 18
 #: What a row of a signature costs, in candidate pairs.
 SIGNATURE_COST = 3.0
 #: Shingles whose bits are counted at once.
@@ -222,10 +224,28 @@ def salted_join(rows: DataFrame, known: DataFrame, key: str, *spread: str) -> Da
     return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
 
 
+def _joined(edges: pa.Table) -> pa.Table:
+    """node, root of all nodes of the edges (a, b)."""
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := to.setdefault(x, x)) != x:
+            to[x] = to[y]
+            x = to[x]
+        return x
+
+    for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+        a, b = root(a), root(b)
+        to[max(a, b)] = min(a, b)
+    nodes = list(to)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(x) for x in nodes], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that an edge (a, b) names; root is the smallest node of its component.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder, which cuts the lineage.
+    Up to LOCAL edges are joined on the driver, as each round has many tasks that hold next to nothing. More go through
+    alternating large-star and small-star steps; each round is written to the shared folder, which cuts the lineage.
     A node's edges meet in min(), which sums them up before they are shuffled, and in a salted join with it.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "components")
@@ -234,6 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b") % 1_000_003).alias("s")).first()
         if now["n"] == 0 or now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
+        if now["n"] <= LOCAL:
+            return saved(edges.sparkSession.createDataFrame(_joined(edges.toArrow())), "components")
         before = now
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

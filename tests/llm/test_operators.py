@@ -311,6 +311,25 @@ def _five_words(text):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_components_are_the_same_on_the_driver_and_in_rounds(spark, monkeypatch, local):
+    monkeypatch.setattr(near_dup, "LOCAL", local)
+    rounds, join = [], near_dup.salted_join
+    monkeypatch.setattr(near_dup, "salted_join", lambda *x: rounds.append(1) or join(*x))
+    draw = random.Random(2)
+    chain = list(range(-40, 0))
+    draw.shuffle(chain)
+    edges = [*zip(chain, chain[1:], strict=False), *((draw.randrange(200), draw.randrange(200)) for _ in range(90)), (500, 500), (1 << 62, -(1 << 63))]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(root.items())
+    assert bool(rounds) == (local == 0)
+
+
 def test_similar_texts_are_one_group(spark):
     draw = random.Random(8)
     made_texts = []
