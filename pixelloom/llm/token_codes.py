@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import batches_of, pick, small_batches
+from .common import pick, small_batches
 from .tokens import encoder
 
 MAGIC = b"DAC1"
@@ -118,7 +119,6 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
         ids, doc_ids, lengths, segment, before, held = [], [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -126,12 +126,16 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "before": [before], "n_tokens": [len(flat)], "doc_ids": [doc_ids], "lengths": [lengths], "codes": [Codes.write(flat)]}, schema=_ARROW)
 
         for batch in batches:
-            for rows in batches_of(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), 200):
-                for (doc_id, _), own in zip(rows, enc.batch([t for _, t in rows]), strict=True):
-                    ids += [own, tail]
+            names = iter(batch.column("doc_id").to_pylist())
+            for some, counts in enc.column(batch.column("text")):
+                if end_id is not None:
+                    some, counts = np.insert(some, np.cumsum(counts), end_id), counts + 1
+                at = 0
+                for doc_id, n in zip(islice(names, len(counts)), counts.tolist(), strict=True):
+                    ids.append(some[at : at + n])
                     doc_ids.append(doc_id)
-                    lengths.append(len(own) + len(tail))
-                    held += lengths[-1]
+                    lengths.append(n)
+                    at, held = at + n, held + n
                     if held >= SEGMENT:
                         yield closed()
                         segment, before = segment + 1, before + held

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -468,6 +469,46 @@ def test_ids_are_those_of_the_library_for_special_strings(name):
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_library_wherever_units_are_cut(name, monkeypatch):
+    from pixelloom.llm.tokens import Encoder
+
+    enc = Encoder(name)
+    monkeypatch.setattr(Encoder, "BYTES", 64)
+    monkeypatch.setattr(Encoder, "UNITS", 5)
+    parts = ["a", "Word", "H", "\u0331", "\u0301", "\u0338", "<", "'", "'s", "'RE", "n't", "5", "12", "_", ".", "$$", " ", "  ", "\n", "\r\n ", "\t", "\x00", "\x01", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "é", "İ", "ß", "Σ", "你", "\u1112", "\u1161", "“", "<|endoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>"]
+    draw = random.Random(8)
+    texts = [None, "", "<|endof", "text|>", "'", "s x", *["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(4000)]]
+    want = [enc.whole(t or "") for t in texts]
+    assert [x.tolist() for x in enc.batch(texts)] == want
+    got = [x.tolist() for ids, counts in enc.column(pa.array(["before", *texts])[1:]) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == want
+    assert enc.batch([]) == [] == list(enc.column(pa.array([], pa.string())))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_the_tokenizer_gets_a_word_once_whatever_signs_stand_beside_it(name):
+    from pixelloom.llm.tokens import Encoder
+
+    enc, words = Encoder(name), [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [f"{w}{sign}" for sign in (",", ".", "!!", "...", ";", "'s", "$$$", "5") for w in words]
+    assert [x.tolist() for x in enc.batch([" ".join(texts)])] == [enc.whole(" ".join(texts))]
+    assert len(enc.seen) <= len(words) + 1 + 8
+
+
+def test_a_tokenizer_that_cuts_otherwise_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    from pixelloom.llm.tokens import Encoder, vocabulary_path
+
+    plain = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    assert Encoder("byte_bpe_50k.json").known and Encoder("word_bpe_49k.json").known
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.save(str(tmp_path / "other.json"))
+    texts = ["(a word, don't", None, "in  the\nend", "", "a.b" * 9]
+    assert [x.tolist() for x in Encoder(str(tmp_path / "other.json")).batch(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_cues_are_found_in_any_case():
     for cue in ("Customer ID: 12345678", "User ID 123456", "customer ID: 12345678", "Member ID 12345678", "iBAN: DE44500105175407324931"):
         for before in ("", "Größe İ "):
