@@ -191,7 +191,7 @@ def links(distinct: DataFrame, radius: int = 2, partitions: list[Partition] | No
         a = distinct.select("fp", F.lit(i).alias("part"), fp.bitwiseAND(own).alias("key"))
         b = distinct.select("fp", F.lit(i).alias("part"), _flips(fp.bitwiseAND(own), _masks(p.bits, p.threshold)).alias("key"))
         index, probe = (a, b) if index is None else (index.unionAll(a), probe.unionAll(b))
-    large = saved(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("part", "key"), "simhash-large")
+    large = saved(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("part", "key"), "simhash-large", few=True)
     some_large = bool(large.take(1))
     ordinary = index
     if some_large:
@@ -248,14 +248,14 @@ def components(edges: DataFrame) -> DataFrame:
     alternating large-star and small-star steps; each round is written to the shared folder, which cuts the lineage.
     A node's edges meet in min(), which sums them up before they are shuffled, and in a salted join with it.
     """
-    edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "components")
+    edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "components", few=True)
     before = None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b") % 1_000_003).alias("s")).first()
         if now["n"] == 0 or now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
         if now["n"] <= LOCAL:
-            return saved(edges.sparkSession.createDataFrame(_joined(edges.toArrow())), "components")
+            return saved(edges.sparkSession.createDataFrame(_joined(edges.toArrow())), "components", few=True)
         before = now
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -263,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, least, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionAll(least.select("a", F.col("m").alias("b")))
-        edges = saved(small.distinct(), "components")
+        edges = saved(small.distinct(), "components", few=True)
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42, similarity: float | None = None) -> DataFrame:
@@ -284,17 +284,17 @@ def _labels(docs: DataFrame, shingle: int, radius: int, seed: int, similarity: f
 
     root is the same in all of its group; alone: one row has the fingerprint, and it has no link.
     """
-    marked = saved(fingerprints(docs, shingle, seed), "simhash")
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    marked = saved(fingerprints(docs, shingle, seed), "simhash", few=True)
+    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct", few=True)
     of = components(links(distinct.select("fp"), radius))
     if similarity is not None:
-        of = saved(of, "simhash-components")
+        of = saved(of, "simhash-components", few=True)
         similar = similar_links(docs, of, partial(fingerprint, shingle=shingle, seed=seed), similarity=similarity)
         of = components(of.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(similar))
     # Fingerprints without a link are groups of their own; the others get the least doc_id of their component.
     linked = of.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = saved(salted_join(linked, least, "root", "node").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
+    named = saved(salted_join(linked, least, "root", "node").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups", few=True)
     return marked, distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"), (F.col("root").isNull() & (F.col("n") == 1)).alias("alone"))
 
 
@@ -328,7 +328,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int =
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     marked, label = _labels(docs, shingle, radius, seed, similarity)
     found = marked.join(label, "fp").where(F.col("doc_id") == F.col("component_id"))
-    stay = saved(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-stay")
+    stay = saved(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-stay", few=True)
     ids = bitmap(marked.where("doc_id IS NOT NULL").join(label.where(~F.col("alone")).select("fp"), "fp").select("doc_id"), "doc_id")
     kept = _grouped_rows(docs, ids, True, names, shingle, seed).join(stay, ["doc_id", "fp"])
     single = kept.where("n = 1").select(*names)

@@ -166,11 +166,11 @@ def _merged(rows: DataFrame) -> DataFrame:
     edges = large.join(low, "class").select(F.col("key").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     of = components(edges).select(F.col("node").alias("key"), F.col("root").alias("one"))
     apart = of.join(large.select("key", "n").distinct(), "key").groupBy("one").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    named = saved(_meet(large, of).select("one", "class", "grp").distinct(), "similar-merged")
+    named = saved(_meet(large, of).select("one", "class", "grp").distinct(), "similar-merged", few=True)
     whole = named.groupBy("one").agg(F.count(F.lit(1)).alias("n")).join(apart, "one").where(F.col("n") * F.col("n") <= F.col("pairs")).select("one", "n")
     one = _meet(named.withColumnRenamed("one", "key"), whole.withColumnRenamed("one", "key")).select("key", "class", "grp", "n")
     others = rows.join(F.broadcast(of.join(whole, "one").select("key")), "key", "left_anti").select("key", "class", "grp", "n")
-    return saved(others.unionAll(one), "similar-rows")
+    return saved(others.unionAll(one), "similar-rows", few=True)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def in_reach(dealt: DataFrame, minima_of: DataFrame, least: float) -> DataFrame:
         yield [*own, np.full(int(live.sum()), same, dtype=np.int64)]
 
     wide = dealt.join(minima_of, "class").select("key", "p", "q", "side", "class", "grp", "minima")
-    found = saved(_by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint, same bigint"), "similar-reach")
+    found = saved(_by_block(wide, ["key", "p", "q"], near, "key bigint, p int, q int, side int, class bigint, grp bigint, same bigint"), "similar-reach", few=True)
     one = found.groupBy("same").agg(F.min(F.struct("key", "p", "q")).alias("one"))
     return found.join(one, "same").where(F.struct("key", "p", "q") == F.col("one")).drop("same", "one")
 
@@ -359,17 +359,17 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
     rows = each.select("class", "grp", F.explode("keys").alias("key"))
     # Buckets of one group have nothing to link.
     several = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    rows = _merged(saved(_meet(rows, several).select("key", "class", "grp", "n"), "similar-rows"))
+    rows = _merged(saved(_meet(rows, several).select("key", "class", "grp", "n"), "similar-rows", few=True))
 
     def links(dealt: DataFrame) -> DataFrame:
-        met = saved(in_reach(dealt, minima_of, similarity - MARGIN), "similar-met")
+        met = saved(in_reach(dealt, minima_of, similarity - MARGIN), "similar-met", few=True)
         sets = saved(sets_of(docs, met.select("class").distinct(), shingle), "similar-sets")
         early = F.pmod(F.xxhash64("key", "p", "q"), F.lit(FIRST)) == 0
-        first = saved(verified(met.where(early), sets, similarity), "similar-links")
+        first = saved(verified(met.where(early), sets, similarity), "similar-links", few=True)
         roots = components(first).withColumnRenamed("node", "grp")
         rest = met.where(~early).join(roots, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root")
         several = rest.groupBy("key", "p", "q").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key", "p", "q")
-        return first.unionAll(saved(verified(rest.join(several, ["key", "p", "q"]), sets, similarity), "similar-links"))
+        return first.unionAll(saved(verified(rest.join(several, ["key", "p", "q"]), sets, similarity), "similar-links", few=True))
 
     large = rows.where(F.col("n") > MOST).withColumn("qs", _cells(F.col("n")))
     first = None
@@ -378,7 +378,7 @@ def similar_links(docs: DataFrame, grouped: DataFrame, fingerprint, shingle: int
         left = large.join(named, ["key", "class"], "left").withColumn("left", F.coalesce("named", F.lit(False))).withColumn("ps", F.lit(1))
         first = links(_dealt(left))
         roots = components(first).withColumnRenamed("node", "grp")
-        rows = saved(rows.join(roots, "grp", "left").select("key", "class", F.coalesce("root", "grp").alias("grp"), "n"), "similar-rows")
+        rows = saved(rows.join(roots, "grp", "left").select("key", "class", F.coalesce("root", "grp").alias("grp"), "n"), "similar-rows", few=True)
     own = rows.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("size"))
     sizes = own.groupBy("key").agg(F.max(F.struct("size", "grp")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     met = _meet(rows, sizes.select("key", F.col("most.size").alias("size"), F.col("most.grp").alias("major")))

@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
-from pixelloom.llm import language_id, media, mixing, near_dup, packing, pii, quality_model, quality_rules, sharding, similar_links, token_codes
+from pixelloom.llm import common, language_id, media, mixing, near_dup, packing, pii, quality_model, quality_rules, sharding, similar_links, token_codes
 from pixelloom.llm.common import new_path
 from pixelloom.llm.tokens import encoder
 
@@ -564,3 +565,23 @@ def test_forest_holds_together_what_all_links_do():
         got = list(zip(a.tolist(), b.tolist(), strict=True))
         assert parts(got) == parts(want)
         assert len(got) == len(set(left) | set(right)) - len(parts(want))
+
+
+def test_narrow_tables_of_near_duplicates_are_a_file_for_each_core_at_most(spark, monkeypatch):
+    """However many partitions a shuffle has: each file costs an executor child processes where the folder is local."""
+    monkeypatch.setattr(common, "_MADE", [])
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(40)]
+    rows = [(100 * i + j, " ".join(w[:30] + ["x"] * (j % 2) + w[30:])) for i, w in enumerate(words) for j in range(3)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).select("doc_id").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r["doc_id"] for r in got) == [100 * i for i in range(40)]
+    wide = ("similar-sketches", "similar-sets")
+    files = {p: len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in common._MADE if not Path(p).name.startswith(wide)}
+    assert len(files) > 10 and max(files.values()) <= spark.sparkContext.defaultParallelism, files
