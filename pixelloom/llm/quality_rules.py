@@ -8,12 +8,14 @@ until no step lessens it. A group's estimate is drawn towards its parent's by on
 goes if its Mahalanobis distance is beyond a fixed limit.
 
 Medians and the distance that parts the nearest rows come from histograms with fixed bounds, summed by group and bucket;
-so sums of a group are never gathered in one task, and reruns agree. The estimates are a few numbers for each group.
+so sums of a group are never gathered in one task, and reruns agree. The estimates are a few numbers for each group:
+up to a fixed number of groups they stay on the driver between steps, more are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,10 @@ STILL = 1e-3
 PARENT = 50
 #: Parts that rows of one group are dealt to when they meet the group's numbers, which have a copy for each part.
 SALTS = 64
+#: Pairs of language and source at most whose groups' numbers (some 62 for each start) stay on the driver.
+#: A table of theirs in the shared folder is a file for each shuffle partition, however few rows there are, and each file
+#: costs its executor three child processes where the folder is a local one (Hadoop calls chmod).
+FEW = 1 << 10
 #: Buckets of statistics (for one unit) and of distances (for a doubling of 1 + d).
 FINE, OCTAVE = 512, 32
 #: Documents beyond this squared distance go. It is far out (chi-square of 5 dimensions: 1 in 10**11), since clean
@@ -169,12 +175,30 @@ def _keys() -> Column:
     )
 
 
-def _meet(long: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of long beside the numbers of their group: by key and salt, so that a group of all rows has many tasks."""
+def _meet(long: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """Rows of long beside the numbers of their group: by key and salt, so that a group of all rows has many tasks.
+
+    few: the groups' numbers are few (see FEW) and go to all tasks.
+    """
+    if few:
+        return long.join(F.broadcast(groups), "key")
     copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return long.join(copies, ["key", "salt"])
 
 
+def _kept(name: str, few: bool) -> Callable[[DataFrame], DataFrame]:
+    """What cuts the lineage of groups' numbers: few ones come to the driver, others are written to the shared folder."""
+    return (lambda df: df.sparkSession.createDataFrame(df.toArrow(), df.schema)) if few else partial(saved, name=name)
+
+
+def _mapped(groups: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, few: bool) -> DataFrame:
+    """f of groups' numbers: on the driver if there are few."""
+    if not few:
+        return groups.mapInPandas(f, schema)
+    made = pd.concat(f(iter([groups.toArrow().to_pandas()])))
+    return groups.sparkSession.createDataFrame(pa.Table.from_pandas(made, preserve_index=False), schema)
+
+
 def medians(long: DataFrame) -> DataFrame:
     """key, n, m, dev: medians of the statistics by group and deviations about them, to 1 / FINE."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(_x(i) * FINE).cast("int").alias("b")) for i in range(D)]))
@@ -222,13 +246,13 @@ def _stepped(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part[["key", "n", "m", "start"]].assign(mean=means, inverse=inverses, cov=covs, logdet=dets)
 
 
-def concentrated(long: DataFrame, state: DataFrame) -> DataFrame:
+def concentrated(long: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """The state after one step: of the PART of a group's rows that is nearest, mean and covariance.
 
     Rows are summed by bucket of their distance; the nearest ones are those up to the bucket in which PART is reached.
     """
     packed = state.groupBy("key").agg(F.first("m").alias("m"), F.collect_list(F.struct("start", "mean", "inverse")).alias("of"))
-    met = _meet(long, packed).select("key", "m", *[_x(i) for i in range(D)], F.explode("of").alias("o"))
+    met = _meet(long, packed, few).select("key", "m", *[_x(i) for i in range(D)], F.explode("of").alias("o"))
     far = F.least(F.floor(OCTAVE * F.log2(1 + F.greatest(_distance(F.col("o.mean"), F.col("o.inverse")), F.lit(0.0)))), F.lit(20 * OCTAVE)).cast("int")
     near = met.select("key", "o.start", far.alias("b"), *[(_x(i) - F.col("m")[i]).alias(f"x{i}") for i in range(D)])
     sums = near.groupBy("key", "start", "b").agg(F.count(F.lit(1)).alias("h"), *[F.sum(_x(i)).alias(f"s{i}") for i in range(D)], *[F.sum(_x(i) * _x(j)).alias(f"s{i}_{j}") for i, j in zip(*UPPER, strict=True)])
@@ -237,14 +261,15 @@ def concentrated(long: DataFrame, state: DataFrame) -> DataFrame:
     inside = upto.where(F.col("before") < PART * F.col("n")).groupBy("key", "start").agg(
         F.sum("h").alias("h"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s"), F.array(*[F.sum(f"s{i}_{j}") for i, j in zip(*UPPER, strict=True)]).alias("ss")
     )
-    return inside.join(state.select("key", "start", "n", "m"), ["key", "start"]).mapInPandas(_stepped, _STATE)
+    return _mapped(inside.join(state.select("key", "start", "n", "m"), ["key", "start"]), _stepped, _STATE, few)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
     """key, n, mean, cov of each group of rows (lang, source, salt, x0..): of all its starts the least determinant."""
+    kept = _kept("mcd", few)
     long = rows.select(F.explode(_keys()).alias("key"), "salt", *[_x(i) for i in range(D)])
-    mid = saved(medians(long).withColumn("scale", F.transform(F.arrays_zip("dev", F.array(*[F.lit(float(f)) for f in FLOORS]).alias("f")), lambda s: F.greatest(1.4826 * s["dev"], s["f"]))), "mcd-medians")
-    z = _meet(long, mid.select("key", "m", "scale")).select("key", *[((_x(i) - F.col("m")[i]) / F.col("scale")[i]).alias(f"x{i}") for i in range(D)])
+    mid = kept(medians(long).withColumn("scale", F.transform(F.arrays_zip("dev", F.array(*[F.lit(float(f)) for f in FLOORS]).alias("f")), lambda s: F.greatest(1.4826 * s["dev"], s["f"]))))
+    z = _meet(long, mid.select("key", "m", "scale"), few).select("key", *[((_x(i) - F.col("m")[i]) / F.col("scale")[i]).alias(f"x{i}") for i in range(D)])
     z = z.withColumn("r", F.greatest(sum((_x(i) * _x(i) for i in range(1, D)), _x(0) * _x(0)), F.lit(1e-12)))
     t = [(1 - 2 / (F.exp(2 * F.least(F.greatest(_x(i), F.lit(-20.0)), F.lit(20.0))) + 1)) for i in range(D)]
     pairs = list(zip(*UPPER, strict=True))
@@ -252,16 +277,16 @@ def estimates(rows: DataFrame) -> DataFrame:
         F.array(*[F.sum(_x(i)) for i in range(D)]).alias("z"), F.array(*[F.sum(_x(i) * _x(j)) for i, j in pairs]).alias("zz"), F.array(*[F.sum(t[i]) for i in range(D)]).alias("t"),
         F.array(*[F.sum(t[i] * t[j]) for i, j in pairs]).alias("tt"), F.array(*[F.sum(_x(i) * _x(j) / F.col("r")) for i, j in pairs]).alias("uu"),
     )
-    state = saved(sums.join(mid, "key").mapInPandas(_starts, _STATE), "mcd")
+    state = kept(_mapped(sums.join(mid, "key"), _starts, _STATE, few))
     for _ in range(FIRST_STEPS):
-        state = saved(concentrated(long, state), "mcd")
+        state = kept(concentrated(long, state, few))
     least = lambda s: s.groupBy("key").agg(F.min_by(F.struct(*s.columns), F.struct("logdet", "start")).alias("s")).select("s.*")
-    active, done = saved(least(state), "mcd"), None
+    active, done = kept(least(state)), None
     for _ in range(MOST_STEPS):
-        new = concentrated(long, active)
+        new = concentrated(long, active, few)
         both = new.join(active.select("key", F.struct(*active.columns).alias("old")), "key")
         # A step counts if it lessens the determinant; a group for which it doesn't is done.
-        step = saved(both.withColumn("better", F.col("logdet") < F.col("old.logdet") - STILL), "mcd")
+        step = kept(both.withColumn("better", F.col("logdet") < F.col("old.logdet") - STILL))
         still = step.where(~F.col("better")).select("old.*")
         done = still if done is None else done.unionByName(still)
         active = step.where("better").select(*active.columns)
@@ -298,12 +323,17 @@ def judge(docs: DataFrame, limit: float = LIMIT, *others: str) -> DataFrame:
     texts = "text" in others
     found = statistics(docs, *others) if texts else saved(statistics(docs, *others), "quality-statistics")
     measured = statistics(docs) if texts else found
-    vectors = saved(measured.where(~F.col("base_failed")).select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())]), "quality-vectors")
-    of = estimates(vectors)
+    vectors = measured.where(~F.col("base_failed")).select("lang", "source", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())])
+    if texts:  # else they come from the statistics that are written
+        vectors = saved(vectors, "quality-vectors")
+    distinct = vectors.select("lang", "source").distinct()
+    few = 0 < distinct.count() <= FEW
+    of = estimates(vectors, few)
     # Each pair of lang and source that there is, with its own numbers and those of its parents: three rows a pair.
-    pairs = vectors.select("lang", "source").distinct().select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(_keys()).alias("key"))
+    pairs = distinct.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.explode(_keys()).alias("key"))
     together = pairs.join(of, "key").groupBy("l", "s").agg(F.collect_list(F.struct("key", "n", "mean", "cov")).alias("of"))
-    finest = saved(together.mapInPandas(_drawn, "l string, s string, mean array<double>, inverse array<double>"), "mcd-finest")
+    finest = _mapped(together, _drawn, "l string, s string, mean array<double>, inverse array<double>", few)
+    finest = F.broadcast(finest) if few else saved(finest, "mcd-finest")
     with_x = found.select("*", *[c.alias(f"x{i}") for i, c in enumerate(transformed().values())])
     judged = with_x.join(finest, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     distance = F.when(~F.col("base_failed"), _distance(F.col("mean"), F.col("inverse")))

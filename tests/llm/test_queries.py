@@ -11,9 +11,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pixelloom.llm import media, quality_rules, queries
+from pixelloom.llm import common, media, quality_rules, queries
 from pixelloom.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Text2 int"
@@ -289,6 +290,21 @@ def test_each_statistic_alone_can_reject(spark):
     assert [got[150 + k]["kept"] for k in range(4)] == [False] * 4
 
 
+def test_few_groups_numbers_are_not_written(spark, sf, monkeypatch):
+    docs, before = queries.documents(spark, sf), len(common._MADE)
+    few = {r["row"]: r for r in quality_rules.judge(docs).select(F.xxhash64("doc_id", "lang", "source").alias("row"), "distance", "kept").collect()}
+    written = [x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in common._MADE[before:]]
+    assert written == ["quality-statistics"]
+    # More groups than stay on the driver are written, with the same results.
+    monkeypatch.setattr(quality_rules, "FEW", 0)
+    many = {r["row"]: r for r in quality_rules.judge(docs).select(F.xxhash64("doc_id", "lang", "source").alias("row"), "distance", "kept").collect()}
+    assert "mcd-finest" in "".join(common._MADE[before:])
+    assert few.keys() == many.keys() and len(few) > 400 and sum(r["kept"] for r in few.values()) > 200
+    for row, r in few.items():
+        assert r["kept"] == many[row]["kept"] and (r["distance"] is None) == (many[row]["distance"] is None)
+        assert r["distance"] is None or r["distance"] == pytest.approx(many[row]["distance"], rel=1e-6)
+
+
 def test_op10(spark, sf):
     got = queries.op10_sharding(spark, sf).collect()
     want = sorted(((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in table()))
